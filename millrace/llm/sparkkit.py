@@ -48,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components of ``edges`` (a, b): rows (id, component), component the least id reachable.
+    """Connected components of ``edges`` (a, b): a row (id, component) per vertex, component the least id reachable.
 
     Alternating large-star and small-star steps: every step is a grouped minimum
     and an equi-join, so hubs are pre-aggregated before the shuffle, and the
@@ -72,4 +72,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         last = (now["n"], now["s"])
     else:
         raise RuntimeError("components did not settle")
-    return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
+    roots = e.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
+    return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").unionByName(roots)
+
+
+def deal(df: DataFrame, col: str, parts: int) -> DataFrame:
+    """Rows dealt out by a bucket number, bucket b to partition b mod parts: as even as the buckets are."""
+    return df.repartitionById(parts, F.pmod(F.col(col), F.lit(parts)).cast("int"))

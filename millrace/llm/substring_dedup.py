@@ -38,7 +38,7 @@ from . import textkit as tk
 
 WIDTH = 13
 #: Words whose windows are held in memory at once, per task.
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 1_500_000
 _ROWS = "bucket int, kind int, payload binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -117,7 +117,7 @@ def _hash_chunks(width: int, n_hash: int, n_doc: int):
 def _count(n_hash: int, n_doc: int):
     """Rows come sorted by bucket; one bucket is in memory at a time."""
 
-    def flush(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def repeats(held: list[bytes], found: list[tuple[np.ndarray, np.ndarray]]) -> int:
         cols = packed.load_all(held)
         held.clear()
         h, d, p = cols["h"], cols["d"], cols["p"]
@@ -127,11 +127,17 @@ def _count(n_hash: int, n_doc: int):
         first = np.flatnonzero(new)
         least = np.minimum.reduceat(d, first)
         later = d > least[np.cumsum(new) - 1]
-        if later.any():
-            yield _by(doc_bucket(d[later], n_doc), FOUND, {"d": d[later], "p": p[later]})
+        found.append((d[later], p[later]))
+        return int(later.sum())
+
+    def emit(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        d, p = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
+        order = np.argsort(d, kind="stable")
+        return _by(doc_bucket(d[order], n_doc), FOUND, {"d": d[order], "p": p[order]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, found, n = None, [], [], 0
         for batch in batches:
             passed = []
             for bucket, kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -139,13 +145,18 @@ def _count(n_hash: int, n_doc: int):
                     passed.append((bucket - n_hash, FOUND, payload))
                     continue
                 if bucket != now and held:
-                    yield from flush(held)
+                    n += repeats(held, found)
+                    if n >= CHUNK_WORDS:
+                        yield emit(found)
+                        n = 0
                 now = bucket
                 held.append(payload)
             if passed:
                 yield _batch(passed)
         if held:
-            yield from flush(held)
+            repeats(held, found)
+        if found:
+            yield emit(found)
 
     return run
 
@@ -211,13 +222,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if width < 1:
         raise ValueError("width must be positive")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n_hash = sparkkit.buckets(docs, 8 << 20)
-    n_doc = sparkkit.buckets(docs, 8 << 20)
+    n_hash = n_doc = sparkkit.buckets(docs, 8 << 20, per_partition=2)
     entries = src.mapInArrow(_hash_chunks(width, n_hash, n_doc), _ROWS)
     parts = sparkkit.partitions(docs.sparkSession)
-    found = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(n_hash, n_doc), _ROWS)
+    found = sparkkit.deal(entries, "bucket", parts).sortWithinPartitions("bucket").mapInArrow(_count(n_hash, n_doc), _ROWS)
     texts = src.mapInArrow(_pack_texts(n_doc), _ROWS)
-    both = found.unionByName(texts).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    both = sparkkit.deal(found.unionByName(texts), "bucket", parts).sortWithinPartitions("bucket", "kind")
     out = both.mapInArrow(_cut_texts(width, with_text), _RESULT)
     return out if with_text else out.drop("kept_text")
 
