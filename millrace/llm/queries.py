@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near_dup import op10_near_duplicates
+from .packing import op7_pack_sequences
+from .secrets import op5_secret_scan
 from .substring_dedup import op4_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_pack_sequences": op7_pack_sequences,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
