@@ -15,6 +15,8 @@ import pyarrow as pa
 U64 = np.uint64
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Separators of plain words: every ASCII sign but letters and digits.
+PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=U64)
@@ -57,12 +59,12 @@ def slices(data: np.ndarray, off: np.ndarray, limit: int = 2 << 20) -> Iterator[
         a = b
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the first word's number of each row (n + 1 limits)."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    in_word = ~_SEP[data]
+    in_word = ~sep[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[off] = True
     start = in_word.copy()
