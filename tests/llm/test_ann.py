@@ -54,7 +54,7 @@ def test_recall_on_more_vectors(spark):
 def test_odd_rows_exactly(spark):
     rnd = random.Random(6)
     rows = [(i, [rnd.choice([-1.0, 0.5, 2.0]) for _ in range(5)]) for i in range(60)]
-    rows += [(100 + i, [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(40)] + [(0, rows[0][1]), (7, [9.0] * 5), (None, [1.0] * 5), (300, None), (400, [0.0] * 5), (500, [1.0, None, 1, 1, 1]), (600, [float("nan")] * 5), (700, [float("inf")] * 5), (800, [])]
+    rows += [(100 + i, [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(40)] + [(0, rows[0][1]), (7, [9.0] * 5), (None, [1.0] * 5), (300, None), (400, [0.0] * 5), (500, [1.0, None, 1.0, 1.0, 1.0]), (600, [float("nan")] * 5), (700, [float("inf")] * 5), (800, [])]
     df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<double>, cell int")
     got = ann.nearest(df.repartition(3), F.col("id") % 20 == 0, k=10).collect()
     want = brute(rows, lambda q: q % 20 == 0, 10)
