@@ -9,12 +9,14 @@ texts with any other spacing are encoded whole.  Both ways give the same ids.
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Cached units per worker and position; the cache is emptied when full.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 1_000_000
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class UnitTokenizer:
@@ -26,20 +28,43 @@ class UnitTokenizer:
         self.t.encode_special_tokens = True
         self.line = self._bytes(self.t.encode("\n", add_special_tokens=False).ids)
         self.end = self._bytes([end_id]) if end_id is not None else b""
+        self.tails: dict[str, bytes] = {}
         self.caches: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return array("I", ids).tobytes()
 
     def _fill(self, cache: dict[str, bytes], units: set[str], prefix: str) -> None:
-        new = [u for u in units if u not in cache and u and len(u) <= 64 and not (u[0].isspace() or u[-1].isspace())]
+        """Caches the units that can be joined.
+
+        Letters and the signs after them are pieces of their own, so a word with signs
+        behind it is put together from the two (an apostrophe may bind letters: not then).
+        """
+        new = [u for u in units.difference(cache) if u and len(u) <= 64 and not (u[0].isspace() or u[-1].isspace())]
         if len(cache) + len(new) > CACHE_UNITS:
             cache.clear()
             new = [u for u in units if u and len(u) <= 64 and not (u[0].isspace() or u[-1].isspace())]
-        if new:
-            for u, enc in zip(new, self.t.encode_batch([prefix + u for u in new], add_special_tokens=False), strict=True):
-                cache[u] = self._bytes(enc.ids)
+        plain, joined = set(), []
+        for u in new:
+            stem = u.rstrip(_SIGNS)
+            if len(stem) < len(u) and stem.isalpha():
+                joined.append((u, stem, u[len(stem) :]))
+                if stem not in cache:
+                    plain.add(stem)
+            else:
+                plain.add(u)
+        if plain:
+            words = list(plain)
+            for u, enc in zip(words, self.t.encode_batch([prefix + u for u in words], add_special_tokens=False), strict=True):
+                cache[u] = array("I", enc.ids).tobytes()
+        for u, stem, tail in joined:
+            got = self.tails.get(tail)
+            if got is None:
+                got = self._bytes(self.t.encode(tail, add_special_tokens=False).ids)
+                if len(self.tails) < 100_000:
+                    self.tails[tail] = got
+            cache[u] = cache[stem] + got
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last; null is an empty text."""
