@@ -53,10 +53,12 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _by(bucket: np.ndarray, kind: int, names: dict[str, np.ndarray], offset: int = 0) -> pa.RecordBatch:
     """One packed row per bucket; the order within a bucket is kept."""
+    if not len(bucket):
+        return _batch([])
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     cols = {k: v[order] for k, v in names.items()}
-    cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     rows = []
     for lo, hi in zip(cuts, np.r_[cuts[1:], len(b)], strict=True):
         rows.append((int(b[lo]) + offset, kind, packed.dump({k: v[lo:hi] for k, v in cols.items()})))
