@@ -145,8 +145,10 @@ def _joined(spans: Column) -> Column:
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, keep_row: bool = False) -> DataFrame:
     """Per row: doc_id, spans by kind (assign, access, hex, random: arrays of start and end) and all of them, sorted."""
-    found = sparkkit.cut(find_spans(docs, id_col, text_col, keep_row))
+    found = sparkkit.cut(find_spans(docs, id_col, text_col))
     t = thresholds(found, rate).scalar()
+    if keep_row:  # texts are scanned again rather than checkpointed
+        found = find_spans(docs, id_col, text_col, keep_row=True)
     hit = F.filter("tested", lambda c: c["ok"] & (c["bin"] >= F.try_element_at(F.col("_thr"), c["stratum"])))
     out = found.withColumn("_thr", t).withColumn("random", F.transform(hit, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
     return out.drop("_thr", "tested").withColumn("spans", _all_spans()).withColumn("base", _all_spans(True))
