@@ -41,7 +41,7 @@ class DynamicJoiner:
         right = right.select(*[F.col(f"`{c}`").alias(p + c) for c in right.columns]).where(F.col(p + self.right_key).isNotNull())
         left = left.where(F.col(self.left_key).isNotNull())
         lt, rt = F.col(self.left_clock), F.col(p + self.right_clock)
-        gap = F.make_dt_interval(secs=F.lit(self.ttl_ms / 1000))
+        gap = F.expr(f"INTERVAL {int(self.ttl_ms)} MILLISECONDS")  # a literal, as streaming joins ask for
         near = (rt > lt - gap) & (rt < lt + gap)
         return left.join(right, (F.col(self.left_key) == F.col(p + self.right_key)) & near, HOW[self.how])
 
