@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import maps
+
 HOW = {"INNER": "inner", "LEFT": "left", "RIGHT": "right", "FULL_OUTER": "full"}
 
 
@@ -82,7 +84,7 @@ def static_join_as_metadata(main: DataFrame, ref: DataFrame, name: str, main_key
     cols = main.columns
     hit = StaticJoiner(main_key, ref_key, order)(main, ref.select(ref_key, value, *[o for o in order if o not in (ref_key, value)]))
     v = F.col(f"ref_{value}")
-    meta = F.when(F.col(f"ref_{ref_key}").isNotNull(), F.map_concat(F.coalesce("metadata", F.expr("cast(map() as map<string,string>)")), F.create_map(F.lit(name), v))).otherwise(F.col("metadata"))
+    meta = F.when(F.col(f"ref_{ref_key}").isNotNull(), maps.put("metadata", {name: v})).otherwise(F.col("metadata"))
     return hit.withColumn("metadata", meta).select(*cols)
 
 
@@ -106,6 +108,5 @@ JoinPattern = Callable[[DataFrame, DataFrame], DataFrame]
 
 def payment_metadata(joined: DataFrame, left_cols: list[str], payload: Column, source: Column, matched: Column) -> DataFrame:
     """Order rows with their payment in the metadata, one row per pair; unmatched rows stay as they are."""
-    extra = F.create_map(F.lit("paymentPayload"), payload, F.lit("paymentSource"), source)
-    meta = F.when(matched, F.map_concat(F.coalesce("metadata", F.expr("cast(map() as map<string,string>)")), extra)).otherwise(F.col("metadata"))
+    meta = F.when(matched, maps.put("metadata", {"paymentPayload": payload, "paymentSource": source})).otherwise(F.col("metadata"))
     return joined.withColumn("metadata", meta).select(*left_cols)

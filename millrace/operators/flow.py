@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import maps
 from ..pipeline import BlockResult
 
 
@@ -104,7 +105,7 @@ def tag_metadata(key: str = "ingestSource") -> Callable[[DataFrame, str], DataFr
     """Writes the source's name into the metadata."""
 
     def tag(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumn("metadata", F.map_concat(F.coalesce("metadata", F.expr("cast(map() as map<string,string>)")), F.create_map(F.lit(key), F.lit(name))))
+        return df.withColumn("metadata", maps.put("metadata", {key: F.lit(name)}))
 
     return tag
 

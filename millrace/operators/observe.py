@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import metrics
+from ..functions import maps
 from ..pipeline import BlockResult
 
 
@@ -70,10 +71,7 @@ class MetadataDecorator:
     def apply(self, df: DataFrame) -> BlockResult:
         at = self.processed_at if self.processed_at is not None else F.current_timestamp()
         own = {"taskName": F.lit(self.task_name or self.stage), "subtaskIndex": F.spark_partition_id().cast("string"), "processedAt": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")}
-        names = [f"stage.{self.stage}.{k}" for k in own]
-        old = F.map_filter(F.coalesce("metadata", F.expr("cast(map() as map<string,string>)")), lambda k, _: ~k.isin(*names))
-        new = F.create_map(*[x for n, v in zip(names, own.values(), strict=True) for x in (F.lit(n), v)])
-        return BlockResult(df.withColumn("metadata", F.map_concat(old, new)))
+        return BlockResult(df.withColumn("metadata", maps.put("metadata", {f"stage.{self.stage}.{k}": v for k, v in own.items()})))
 
 
 @dataclass(frozen=True)
