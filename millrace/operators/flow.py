@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import metrics
 from ..functions import maps
 from ..pipeline import BlockResult
 
@@ -29,11 +31,13 @@ class Route:
 class ParallelSplitter:
     """Named routes. Exclusive: the first that matches takes the row, others stay on main.
 
+    ``counted`` adds a counter per route and one for rows that no route took.
     With ``copy_to_main`` main gets every row and each matching route a copy.  A condition
     that is null does not match.  Adding a name again replaces its route.
     """
 
     copy_to_main: bool = False
+    counted: bool = False
     routes: dict[str, Route] = field(default_factory=dict)
     _last: BlockResult | None = None
 
@@ -54,11 +58,17 @@ class ParallelSplitter:
     def apply(self, df: DataFrame) -> BlockResult:
         if not self.routes:
             raise ValueError("at least one route is required")
+        hit = {n: F.coalesce(r.condition, F.lit(False)) for n, r in self.routes.items()}
+        t, seen = df if self.copy_to_main else self.tagged(df), {}
+        if self.counted:
+            counts = {n: c if self.copy_to_main else F.col("_route").eqNullSafe(F.lit(n)) for n, c in hit.items()}
+            none = ~functools.reduce(operator.or_, hit.values()) if self.copy_to_main else F.col("_route").isNull()
+            t, o = metrics.observed(t, "splitter", "splitter", {**{metrics.route_key(n): c for n, c in counts.items()}, metrics.key("splitter", "unmatched"): none})
+            seen = {"splitter": o}
         if self.copy_to_main:
-            self._last = BlockResult(df, sides={n: df.where(F.coalesce(r.condition, F.lit(False))) for n, r in self.routes.items()})
+            self._last = BlockResult(t, sides={n: df.where(c) for n, c in hit.items()}, observations=seen)
         else:
-            t = self.tagged(df)
-            self._last = BlockResult(t.where("_route is null").drop("_route"), sides={n: t.where(F.col("_route") == n).drop("_route") for n in self.routes})
+            self._last = BlockResult(t.where("_route is null").drop("_route"), sides={n: t.where(F.col("_route") == n).drop("_route") for n in self.routes}, observations=seen)
         return self._last
 
     def side(self, name: str) -> DataFrame:
@@ -112,4 +122,4 @@ def tag_metadata(key: str = "ingestSource") -> Callable[[DataFrame, str], DataFr
 
 def union(first: DataFrame, *rest: DataFrame) -> DataFrame:
     """All rows of all frames, columns matched by name."""
-    return reduce(DataFrame.unionByName, rest, first)
+    return functools.reduce(DataFrame.unionByName, rest, first)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import model
+from .. import metrics, model
 from ..functions import jsonx
 from ..pipeline import BlockResult
 
@@ -94,6 +94,12 @@ class ChangeSuppressor:
         return BlockResult(rows.where("_n = 1 or _prev <> _h").drop("_key", "_h", "_prev", "_n"))
 
 
+def _counted(rows: DataFrame, op: str, name: str) -> tuple[DataFrame, dict]:
+    bad = F.col("_violations").isNotNull()
+    rows, o = metrics.observed(rows, op, name, {metrics.key(op, "pass"): ~bad, metrics.key(op, "violation"): bad})
+    return rows, {f"{op}.{name}": o}
+
+
 @dataclass(frozen=True)
 class SchemaVersion:
     """Required fields with types, optional names, and whether others are violations."""
@@ -130,6 +136,7 @@ class SchemaEnforcer:
     versions: tuple[SchemaVersion, ...]
     payload: str = "payload_json"
     name: str = "SchemaEnforcer"
+    counted: bool = False
 
     def __post_init__(self):
         if not self.versions:
@@ -148,9 +155,9 @@ class SchemaEnforcer:
         return df.drop("_p", *[f"_v{i}" for i in range(1, len(self.versions) + 1)])
 
     def apply(self, df: DataFrame) -> BlockResult:
-        rows = self.checked(df)
+        rows, seen = _counted(self.checked(df), "schema", self.name) if self.counted else (self.checked(df), {})
         bad = rows.where("_violations is not null")
-        return BlockResult(rows.where("_violations is null").drop("_violations"), model.dead_letters(bad, model.SCHEMA_VIOLATION, F.col("_violations"), self.name, model.to_json(df)))
+        return BlockResult(rows.where("_violations is null").drop("_violations"), model.dead_letters(bad, model.SCHEMA_VIOLATION, F.col("_violations"), self.name, model.to_json(df)), observations=seen)
 
 
 @dataclass(frozen=True)
@@ -201,6 +208,7 @@ class ConstraintEnforcer:
     rules: tuple[NotNullRule | RangeRule | FormatRule, ...]
     payload: str = "payload_json"
     name: str = "ConstraintEnforcer"
+    counted: bool = False
 
     def __post_init__(self):
         if not self.rules:
@@ -214,6 +222,6 @@ class ConstraintEnforcer:
         return df.withColumn("_violations", F.when(F.size(found) > 0, F.array_join(found, "; "))).drop("_p")
 
     def apply(self, df: DataFrame) -> BlockResult:
-        rows = self.checked(df)
+        rows, seen = _counted(self.checked(df), "constraint", self.name) if self.counted else (self.checked(df), {})
         bad = rows.where("_violations is not null")
-        return BlockResult(rows.where("_violations is null").drop("_violations"), model.dead_letters(bad, model.CONSTRAINT_VIOLATION, F.col("_violations"), self.name, model.to_json(df)))
+        return BlockResult(rows.where("_violations is null").drop("_violations"), model.dead_letters(bad, model.CONSTRAINT_VIOLATION, F.col("_violations"), self.name, model.to_json(df)), observations=seen)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import model
+from .. import metrics, model
 from ..functions import jsonx
 from ..pipeline import BlockResult
 
@@ -120,12 +120,20 @@ class Processor:
 
 @dataclass(frozen=True)
 class FilterInterceptor:
-    """Keeps rows for which the condition is true; a null condition drops."""
+    """Keeps rows for which the condition is true; a null condition drops.
+
+    ``counted`` adds pass and drop counters; without them the filter reaches the scan.
+    """
 
     condition: Column
+    counted: bool = False
 
     def apply(self, df: DataFrame) -> BlockResult:
-        return BlockResult(df.where(F.coalesce(self.condition, F.lit(False))))
+        keep, seen = F.coalesce(self.condition, F.lit(False)), {}
+        if self.counted:
+            df, o = metrics.observed(df, "filter", "filter", {metrics.key("filter", "pass"): keep, metrics.key("filter", "drop"): ~keep})
+            seen = {"filter": o}
+        return BlockResult(df.where(keep), observations=seen)
 
 
 def differs(col: str, value: str) -> Column:

@@ -253,3 +253,29 @@ def test_splits_are_a_partition(spark):
     got = cdc.hash_splits(df, "id", 4)
     assert sorted(r["id"] for r in got.collect()) == list(range(100)) and got.select("_split").distinct().count() == 4
     assert cdc.hash_splits(df, "id", 1).count() == 100
+
+
+def test_counters(spark):
+    df = env(spark, [(0, "k", "a", '{"_id":1}', "orders"), (1, "k", "b", "{}", "payments"), (2, "k", None, "{}", "x")])
+    f = parse.FilterInterceptor(F.col("operation") == "a", counted=True).apply(df)
+    assert f.main.count() == 1
+    assert f.observations["filter"].get == {"filter.pass_count": 1, "filter.drop_count": 2}
+    for copy in (False, True):
+        s = flow.ParallelSplitter(copy, counted=True).route("o", F.col("source") == "orders").apply(df)
+        s.main.collect()
+        assert s.observations["splitter"].get == {"splitter.route.o_count": 1, "splitter.unmatched_count": 2}
+    e = integrity.SchemaEnforcer((integrity.SchemaVersion({"_id": "ANY"}),), counted=True).apply(df)
+    e.main.collect()
+    assert e.observations["schema.SchemaEnforcer"].get == {"schema.pass_count": 1, "schema.violation_count": 2}
+
+
+def test_launcher(spark, tmp_path, capsys):
+    from millrace.__main__ import main
+
+    assert main([]) == 1 and main(["Nothing", "a", "b"]) == 1
+    assert "UserSessionAnalysis" in capsys.readouterr().err
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"operation":"VIEW","source":"s","primaryKey":"u","eventTime":"2024-01-01T00:00:00Z"}\n{bad}\n')
+    assert main(["UserSessionAnalysis", f"{tmp_path}/in", f"{tmp_path}/out"]) == 0
+    assert spark.read.json(f"{tmp_path}/out/main").first()["operation"] == "SESSION_CLOSED"
+    assert spark.read.text(f"{tmp_path}/out/dlq").count() == 1
