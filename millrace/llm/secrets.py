@@ -3,17 +3,21 @@
 Base kinds are found by patterns.  On top of them a randomness test battery looks at
 every other unbroken run of 20 or more characters of an encoding alphabet:
 
-* the encoding is inferred: hex (16 signs), base32 (32) or base64/base64url (64);
-  runs of digits alone are numbers, not secrets;
+* the encoding is inferred from the signs that occur, the smallest that holds them all:
+  hex (16 signs), base32 (32) and base36 (36) in either case, base62 or base64/base64url
+  (64).  A random string of a larger alphabet that by chance stays within a smaller one is
+  uniform over the smaller one.  Runs of digits alone are numbers, not secrets;
 * chi-squared uniformity over the alphabet, a runs test about the alphabet's middle
   and a lag-1 serial correlation test must each be consistent with random signs
-  (p >= 0.001, so a random secret is lost by them three times in a thousand);
+  (p >= 0.001 each, so few random secrets of these alphabets are lost by them); in base32
+  and base36, letters and digits must also take turns as often as random signs do, which
+  names with dates and numbers do not;
 * against the opposite hypothesis, ordinary text, the squared counts behind chi-squared
   and the runs of sign classes give z values whose spread depends on the length; their
   joint p-value is judged by Benjamini-Hochberg at rate 0.01 within each stratum of encoding and length over
   all candidates of the corpus.
 
-The strata are at most 3 * 17 and the p-values are counted in 160 bins, so what is
+The strata are at most 5 * 17 and the p-values are counted in 160 bins, so what is
 gathered over the corpus has a fixed size.  Texts are scanned once: the found spans
 (not the texts) are checkpointed, then counted, then judged.
 
@@ -36,9 +40,11 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 RANDOM_P, RATE, BINS, BIN = 0.001, 0.01, 160, 0.25
 #: Alphabets, in the order of their codes.
-ALPHABET = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+ALPHABET = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+#: Runs that an alphabet holds, in either case where case carries nothing; base64 takes the rest.
+RUNS = {"hex": "^([0-9a-f]+|[0-9A-F]+)$", "base32": "^([A-Z2-7]+|[a-z2-7]+)$", "base36": "^([A-Z0-9]+|[a-z0-9]+)$", "base62": "^[A-Za-z0-9]+$"}
 #: Chance that two signs of ordinary text written in an alphabet agree.
-TEXT_IC = {"hex": 0.12, "base32": 0.066, "base64": 0.062}
+TEXT_IC = {"hex": 0.12, "base32": 0.066, "base36": 0.066, "base62": 0.062, "base64": 0.062}
 
 
 def _spans(pattern: str, text: str = "_t") -> Column:
@@ -62,19 +68,22 @@ def _spans(pattern: str, text: str = "_t") -> Column:
     )
     return F.when(F.size(found) == 0, none).otherwise(folded)
 
-#: Chance that a sign of ordinary text is of another class (upper, lower, digit, symbol) than the one before.
-TEXT_TURNS = 0.15
+#: Chance that a sign of ordinary text is of another class (upper, lower, digit, symbol) than the one before;
+#: in one case only letters and digits take turns.
+TEXT_TURNS = {"hex": 0.15, "base32": 0.05, "base36": 0.05, "base62": 0.15, "base64": 0.15}
 
-_CLASS = "CASE c.a WHEN 64 THEN int({v} >= 26) + int({v} >= 52) + int({v} >= 62) WHEN 16 THEN int({v} >= 10) ELSE int({v} >= 26) END"
+#: The same chance for random signs, where it is tested.
+RANDOM_TURNS = {"base32": 2 * 26 * 6 / 32**2, "base36": 2 * 26 * 10 / 36**2}
+
+_CLASS = "CASE WHEN c.a >= 62 THEN int({v} >= 26) + int({v} >= 52) + int({v} >= 62) WHEN c.a = 16 THEN int({v} >= 10) ELSE int({v} >= 26) END"
 _BATTERY_SQL = """
 transform(transform(transform(_c, c -> named_struct('start', c.start, 'end', c.end, 's', c.s,
-  'enc', CASE WHEN c.s RLIKE '^[0-9]+$' THEN NULL WHEN c.s RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 'hex' WHEN c.s RLIKE '^[A-Z2-7]+$' THEN 'base32' ELSE 'base64' END)),
+  'enc', CASE WHEN c.s RLIKE '^[0-9]+$' THEN NULL {which} ELSE 'base64' END)),
  c -> named_struct('start', c.start, 'end', c.end, 'enc', c.enc,
-  'a', CASE c.enc WHEN 'hex' THEN 16 WHEN 'base32' THEN 32 ELSE 64 END,
-  'ic', CASE c.enc WHEN 'hex' THEN {hex_ic}D WHEN 'base32' THEN {b32_ic}D ELSE {b64_ic}D END,
-  'x', CASE WHEN c.enc IS NULL THEN array(0) ELSE transform(split(CASE WHEN c.enc = 'hex' THEN lower(c.s) ELSE translate(c.s, '-_', '+/') END, '(?<=.)(?=.)', -1),
-        k -> locate(k, CASE c.enc WHEN 'hex' THEN '{hex}' WHEN 'base32' THEN '{b32}' ELSE '{b64}' END) - 1) END)),
- c -> named_struct('start', c.start, 'end', c.end, 'enc', c.enc, 'a', c.a, 'ic', c.ic, 'n', cast(size(c.x) as double),
+  'a', {size}, 'ic', {ic}, 'tt', {turns}, 'rt', {random_turns},
+  'x', CASE WHEN c.enc IS NULL THEN array(0) ELSE transform(split(CASE WHEN c.enc = 'hex' THEN lower(c.s) WHEN c.enc IN ('base32', 'base36') THEN upper(c.s) ELSE translate(c.s, '-_', '+/') END, '(?<=.)(?=.)', -1),
+        k -> locate(k, {alphabet}) - 1) END)),
+ c -> named_struct('start', c.start, 'end', c.end, 'enc', c.enc, 'a', c.a, 'ic', c.ic, 'tt', c.tt, 'rt', c.rt, 'n', cast(size(c.x) as double),
   'sq', aggregate(sequence(0, c.a - 1), 0D, (t, k) -> t + pow(size(filter(c.x, v -> v = k)), 2)),
   'hi', cast(size(filter(c.x, v -> v >= c.a / 2)) as double),
   'runs', 1D + aggregate(sequence(1, greatest(size(c.x) - 1, 1)), 0D, (t, i) -> t + CASE WHEN size(c.x) > 1 AND (c.x[i] >= c.a / 2) <> (c.x[i - 1] >= c.a / 2) THEN 1 ELSE 0 END),
@@ -89,11 +98,16 @@ transform(_b, c -> named_struct('start', c.start, 'end', c.end, 'enc', c.enc, 'n
      (c.runs - (2 * c.hi * (c.n - c.hi) / c.n + 1)) / sqrt(greatest(2 * c.hi * (c.n - c.hi) * (2 * c.hi * (c.n - c.hi) - c.n) / (c.n * c.n * (c.n - 1)), 1e-9D)) END,
   'z_lag', CASE WHEN c.n * c.sumsq - c.sum * c.sum <= 0 THEN 99D ELSE
      ((c.n * c.lag - c.sum * c.sum) / (c.n * c.sumsq - c.sum * c.sum) + 1 / (c.n - 1)) * sqrt(c.n) END,
-  'z_text', ((c.turns - {turns}D * (c.n - 1)) / sqrt({turns}D * (1 - {turns}D) * (c.n - 1))
+  'z_turns', CASE WHEN c.rt IS NULL THEN 0D ELSE (c.rt * (c.n - 1) - c.turns) / sqrt(c.rt * (2 - 3 * c.rt) * (c.n - 1)) END,
+  'z_text', ((c.turns - c.tt * (c.n - 1)) / sqrt(c.tt * (1 - c.tt) * (c.n - 1))
      - ((c.sq - c.n) / (c.n * (c.n - 1)) - c.ic) / sqrt(1.6D * c.ic * c.ic / c.n + 2 * c.ic * (1 - c.ic) / (c.n * c.n))) / sqrt(2D)))
 """
 
 
+def _by_enc(values: dict[str, str]) -> str:
+    return "CASE c.enc " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+
 def _phi_sql(z: str) -> str:
     return f"greatest(1D / (1D + exp(-(1.5976D * ({z}) + 0.070566D * pow({z}, 3)))), 1e-40D)"
 
@@ -108,13 +122,22 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = src.withColumn("_base", base).withColumn("assign", thin(long_value)).withColumn("access", thin(F.col("access"))).withColumn("hex", thin(F.col("hex")))
     outside = F.filter("_c", lambda c: ~F.exists("_base", lambda m: (c["start"] < m["end"]) & (m["start"] < c["end"])))
     src = src.withColumn("_c", F.when(F.size("_c") == 0, F.col("_c")).otherwise(outside))
-    sql = _BATTERY_SQL.format(hex=ALPHABET["hex"], b32=ALPHABET["base32"], b64=ALPHABET["base64"], cls_now=_CLASS.format(v="c.x[i]"), cls_before=_CLASS.format(v="c.x[i - 1]"), hex_ic=TEXT_IC["hex"], b32_ic=TEXT_IC["base32"], b64_ic=TEXT_IC["base64"])
-    src = src.withColumn("_b", F.filter(F.expr(sql), lambda c: c["enc"].isNotNull())).withColumn("_z", F.expr(_Z_SQL.format(turns=TEXT_TURNS)))
+    sql = _BATTERY_SQL.format(
+        which=" ".join(f"WHEN c.s RLIKE '{r}' THEN '{k}'" for k, r in RUNS.items()),
+        size=_by_enc({k: str(len(v)) for k, v in ALPHABET.items()}),
+        ic=_by_enc({k: f"{v}D" for k, v in TEXT_IC.items()}),
+        turns=_by_enc({k: f"{v}D" for k, v in TEXT_TURNS.items()}),
+        random_turns=_by_enc({k: f"{v}D" for k, v in RANDOM_TURNS.items()}),
+        alphabet=_by_enc({k: f"'{v}'" for k, v in ALPHABET.items()}),
+        cls_now=_CLASS.format(v="c.x[i]"),
+        cls_before=_CLASS.format(v="c.x[i - 1]"),
+    )
+    src = src.withColumn("_b", F.filter(F.expr(sql), lambda c: c["enc"].isNotNull())).withColumn("_z", F.expr(_Z_SQL))
     two = lambda z: f"2 * least({_phi_sql(z)}, {_phi_sql('-(' + z + ')')})"
     tested = F.expr(
         f"""transform(_z, c -> named_struct('start', c.start, 'end', c.end,
           'stratum', concat(c.enc, ':', cast(least(cast(floor(c.n / 8) as int), 16) as string)),
-          'ok', {_phi_sql('-c.z_chi')} >= {RANDOM_P}D AND {two('c.z_runs')} >= {RANDOM_P}D AND {two('c.z_lag')} >= {RANDOM_P}D,
+          'ok', {_phi_sql('-c.z_chi')} >= {RANDOM_P}D AND {two('c.z_runs')} >= {RANDOM_P}D AND {two('c.z_lag')} >= {RANDOM_P}D AND {_phi_sql('-c.z_turns')} >= {RANDOM_P}D,
           'bin', cast(least(floor(-log10({_phi_sql('-c.z_text')}) / {BIN}D), {BINS - 1}) as int)))"""
     )
     return src.select("doc_id", "assign", "access", "hex", tested.alias("tested"), *(["_row"] if keep_row else []))

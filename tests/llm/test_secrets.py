@@ -65,3 +65,18 @@ def test_redact(spark):
     got = [tuple(r) for r in redact(df).collect()]
     assert got == [(1, 'a [SECRET]" b😀', 14, "q"), (2, "clean", 5, "q"), (None, None, None, "q"), (4, "😀 [SECRET]!", 11, "q")]
     assert redact(df.limit(0)).collect() == []
+
+
+def test_recall_by_encoding_and_length(spark):
+    rnd = random.Random(12)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"base32": low.upper() + "234567", "base32 lower": low + "234567", "base36": low + digits, "base36 upper": low.upper() + digits, "base62": low + low.upper() + digits, "base64": low + low.upper() + digits + "+/"}
+    words = ["internationalization", "counterrevolutionaries", "release20240131build0042final", "invoice20231015customer4711", "win32apiwrapperforoldbuilds"]
+    rows = [(f"{k}:{n}", f"some {''.join(rnd.choice(a) for _ in range(n))} text") for k, a in alphabets.items() for n in (20, 32, 64, 128) for _ in range(100)]
+    rows += [("words:0", f"some {rnd.choice(words)}{rnd.choice(words)} text") for _ in range(1000)]
+    found = {}
+    for r in secret_spans(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        found[r["doc_id"]] = found.get(r["doc_id"], 0) + (len(r["random"]) > 0)
+    assert found.pop("words:0") == 0
+    for k, n in found.items():
+        assert n >= (80 if k.endswith(":20") else 90), (k, n)
