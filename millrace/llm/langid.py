@@ -1,8 +1,10 @@
 """Language identification by Bayesian fusion of four kinds of evidence.
 
-* Text: hashed byte 3-grams of the letters, multinomial naive Bayes.  Counts come from
-  labelled rows, a hash sample of about SAMPLE_ROWS of them (all, if fewer), summed by
-  language and bin in Spark.  A long text speaks with the weight of MAX_GRAMS grams.
+* Text: hashed byte 3-grams of the letters, multinomial naive Bayes.  The languages
+  are all those of labelled rows with letters, by a grouped count over the whole table.
+  Counts come from a hash sample of each language's rows (all, if few; one at least),
+  SAMPLE_ROWS by all languages together but LANGUAGE_ROWS by each, summed by language
+  and bin in Spark.  A long text speaks with the weight of MAX_GRAMS grams.
 * Declaration: the declared (markup) language is right with probability TRUST.
 * Host: what the *other* rows of the host are, by text, smoothed toward the address
   suffix, which is smoothed toward the whole corpus.  These sums are grouped
@@ -13,7 +15,8 @@ The posterior over the languages seen in the labels is the normalised product.
 kept unless its posterior is under MIN_POSTERIOR or it has neither letters nor a known
 declaration.
 
-Scale: texts are read twice (the sample's and the scoring scan); what is scored is
+Scale: texts are read three times (the count, the sample's and the scoring scan); memory
+and work grow with the number of languages; what is scored is
 checkpointed without texts.  Host sums are pre-aggregated before the shuffle and joined
 as a table of its own, so adaptive execution broadcasts it if small or splits hot hosts.
 
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from . import sparkkit
 from . import textkit as tk
 
-SAMPLE_ROWS, MAX_LANGUAGES, BINS = 4000, 64, 1 << 14
+SAMPLE_ROWS, LANGUAGE_ROWS, BINS = 4000, 500, 1 << 14
 MAX_GRAMS, TRUST, MIN_POSTERIOR = 60.0, 0.9, 0.5
 #: Pseudo-counts of the prior above: corpus for a suffix, suffix for a host.
 SUFFIX_WEIGHT, HOST_WEIGHT = 10.0, 5.0
@@ -78,18 +81,27 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(df: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-likelihoods per bin, from a bounded hash sample of labelled rows."""
+    """All labelled languages and their log-likelihoods per bin, from a bounded hash sample of each one's rows."""
     src = df.select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("lang"), F.col(id_col).alias("id")).where("lang is not null")
-    n = src.count()
-    every = max(1, n // sample_rows)
-    part = src if every == 1 else src.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    counts = part.select("t", "lang").mapInArrow(_gram_counts, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    top = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    langs = sorted(top)
+    # the texts that have a gram
+    src = src.where((F.octet_length("t") >= 3) & F.col("t").rlike(r"(?s)[A-Za-z].|[^\x00-\x7F]")).withColumn("h", F.xxhash64("id", "t"))
+    all_rows = src.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("h")).orderBy("lang").collect()
+    if not all_rows:
+        return [], np.full((0, BINS), 0.5)
+    langs = [r["lang"] for r in all_rows]
+    quota = max(sample_rows // len(langs), LANGUAGE_ROWS)
+    rates = [(r["lang"], every, r["h"] % every) for r in all_rows for every in [max(1, r["n"] // quota)]]
+    part = src
+    if any(every > 1 for _, every, _ in rates):
+        by = df.sparkSession.createDataFrame(rates, "lang2 string, every long, rest long")
+        part = src.join(by, F.col("lang") == F.col("lang2")).where(F.pmod("h", "every") == F.col("rest"))
+    counts = part.select("t", "lang").mapInArrow(_gram_counts, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     m = np.full((len(langs), BINS), 0.5)
-    for r in counts.where(F.col("lang").isin(langs)).toArrow().to_pylist() if langs else []:
-        m[langs.index(r["lang"]), r["bin"]] += r["n"]
-    return langs, np.log(m / m.sum(axis=1, keepdims=True)) if langs else m
+    places = {x: i for i, x in enumerate(langs)}
+    for b in counts.to_batches():
+        of = np.array([places[x] for x in b.column(0).to_pylist()], np.int64)
+        np.add.at(m, (of, np.asarray(b.column(1))), np.asarray(b.column(2)))
+    return langs, np.log(m / m.sum(axis=1, keepdims=True))
 
 
 def _score(logp: np.ndarray):

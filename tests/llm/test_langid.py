@@ -78,3 +78,19 @@ def test_pages_and_filter(spark):
     odd = spark.createDataFrame([(-1, None, None, "s", 0), (-2, "12 34", None, "s", 5), (None, "??", "en", "s", 2), (None, "ok", "en", "s", 2)], docs.schema)
     kept = {r["doc_id"] for r in L.keep_identified(docs.unionByName(odd)).collect()}
     assert kept == {r["doc_id"] for r in docs.collect()} | {None}
+
+
+def test_rare_and_many_languages_on_a_large_table(spark):
+    """Shares far under the sample's, more languages than 64, and ids that do not tell rows apart."""
+    rnd = random.Random(6)
+    sounds = [a + b for a in "bcdfghjklmnpqrstvwxz" for b in "aeiouy"]
+    rnd.shuffle(sounds)
+    roots = {f"l{k:02}": [sounds[(7 * k + j * (k + 1)) % len(sounds)] + sounds[(3 * k + j) % len(sounds)] for j in range(4)] for k in range(70)}
+    say = lambda x: " ".join(rnd.choice(roots[x]) for _ in range(40))
+    rows = [(None if i % 2 else i, say("l00"), "l00", "h", "s") for i in range(6000)]
+    rows += [(10_000 + 3 * k + j, say(x), x, f"h{x}", "s") for k, x in enumerate(list(roots)[1:]) for j in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    langs, logp = L.train(df, "id", "text", "declared", sample_rows=40)
+    assert langs == sorted(roots) and logp.shape == (70, L.BINS)
+    got = {r["id"]: r["lang"] for r in L.identify(df.where("declared <> 'l00' or id < 40"), "id", "text", "declared", "host", "suffix", sample_rows=40).collect()}
+    assert all(got[i] == x for i, _, x, *_ in rows if i in got and i is not None)
