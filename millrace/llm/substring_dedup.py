@@ -17,7 +17,9 @@ least 4 (at 100 TB: 20) bits of the second; at 100 TB about 2.7e13 windows give
 twenty expected chance collisions in the whole corpus.  No window is sampled or capped.
 
 Defined cases: null or empty text has no words, and gives n_words 0 and the hash of
-the empty string.  Rows with the same doc_id never make each other's windows repeat.
+the empty string.  Rows with the same doc_id never make each other's windows repeat, and
+each loses only windows that it has itself: a start travels with 32 bits of its window's
+hash, and a row takes it only if its own window there has them.
 A null doc_id is neither smaller nor larger than any other: its row stays whole.
 Columns other than the id and the text are ignored.
 """
@@ -69,6 +71,11 @@ def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
     return (tk.mix(doc.astype(np.int64).view(tk.U64)) & tk.U64(n - 1)).astype(np.int32)
 
 
+def check(h: np.ndarray) -> np.ndarray:
+    """The bits of a window's hash that go with its start, to tell the rows of one doc_id apart."""
+    return (h >> tk.U64(32)).astype(np.uint32)
+
+
 def _hash_chunks(width: int, n_hash: int, n_doc: int):
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         doc, pos, h, b = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -82,7 +89,7 @@ def _hash_chunks(width: int, n_hash: int, n_doc: int):
         later[order] = ds > least[group]
         if later.any():
             d, p = doc[later], pos[later]
-            yield _by(doc_bucket(d, n_doc), FOUND, {"d": d, "p": p}, n_hash)
+            yield _by(doc_bucket(d, n_doc), FOUND, {"d": d, "p": p, "c": check(h[later])}, n_hash)
         own = ~later
         yield _by(b[own], ENTRY, {"h": h[own], "d": doc[own], "p": pos[own]})
 
@@ -119,7 +126,7 @@ def _hash_chunks(width: int, n_hash: int, n_doc: int):
 def _count(n_hash: int, n_doc: int):
     """Rows come sorted by bucket; one bucket is in memory at a time."""
 
-    def repeats(held: list[bytes], found: list[tuple[np.ndarray, np.ndarray]]) -> int:
+    def repeats(held: list[bytes], found: list[tuple[np.ndarray, ...]]) -> int:
         cols = packed.load_all(held)
         held.clear()
         h, d, p = cols["h"], cols["d"], cols["p"]
@@ -129,14 +136,14 @@ def _count(n_hash: int, n_doc: int):
         first = np.flatnonzero(new)
         least = np.minimum.reduceat(d, first)
         later = d > least[np.cumsum(new) - 1]
-        found.append((d[later], p[later]))
+        found.append((d[later], p[later], check(h[later])))
         return int(later.sum())
 
-    def emit(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        d, p = (np.concatenate(x) for x in zip(*found, strict=True))
+    def emit(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        d, p, c = (np.concatenate(x) for x in zip(*found, strict=True))
         found.clear()
         order = np.argsort(d, kind="stable")
-        return _by(doc_bucket(d[order], n_doc), FOUND, {"d": d[order], "p": p[order]})
+        return _by(doc_bucket(d[order], n_doc), FOUND, {"d": d[order], "p": p[order], "c": c[order]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, found, n = None, [], [], 0
@@ -185,6 +192,17 @@ def _pack_texts(n_doc: int):
 def _cut_texts(width: int, with_text: bool):
     """Rows come sorted by document bucket, repeats before texts."""
 
+    def own(text: bytes, at: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The starts whose window this very text has there; other rows of the id may have given the rest."""
+        data = np.frombuffer(text, np.uint8)
+        s, e, _ = tk.words(data, np.array([0, len(data)], np.int64))
+        if len(s) < width:
+            return at[:0]
+        have = check(tk.rolling(tk.word_hashes(data, s, e), width, tk.BASES[0]))
+        inside = at <= len(s) - width
+        at, c = at[inside], c[inside]
+        return at[have[at] == c]
+
     def merged(starts: np.ndarray, n: int) -> np.ndarray:
         delta = np.zeros(n + 1, np.int64)
         np.add.at(delta, starts, 1)
@@ -192,7 +210,7 @@ def _cut_texts(width: int, with_text: bool):
         return np.cumsum(delta[:-1]) > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, found, starts, docs = None, [], None, None
+        now, found, starts, checks, docs = None, [], None, None, None
         for batch in batches:
             for bucket, kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if bucket != now:
@@ -201,9 +219,9 @@ def _cut_texts(width: int, with_text: bool):
                     found.append(payload)
                     continue
                 if docs is None:
-                    cols = packed.load_all(found) if found else {"d": np.zeros(0, np.int64), "p": np.zeros(0, np.uint32)}
+                    cols = packed.load_all(found) if found else {"d": np.zeros(0, np.int64), "p": np.zeros(0, np.uint32), "c": np.zeros(0, np.uint32)}
                     order = np.argsort(cols["d"], kind="stable")
-                    docs, starts, found = cols["d"][order], cols["p"][order].astype(np.int64), []
+                    docs, starts, checks, found = cols["d"][order], cols["p"][order].astype(np.int64), cols["c"][order], []
                 t = packed.load_table(payload)
                 out = []
                 for doc, text in zip(t.column(0).to_pylist(), t.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -211,7 +229,7 @@ def _cut_texts(width: int, with_text: bool):
                     lo, hi = (np.searchsorted(docs, doc, "left"), np.searchsorted(docs, doc, "right")) if doc is not None else (0, 0)
                     kept = words
                     if hi > lo:
-                        kept = list(compress(words, (~merged(starts[lo:hi], len(words))).tolist()))
+                        kept = list(compress(words, (~merged(own(text or b"", starts[lo:hi], checks[lo:hi]), len(words))).tolist()))
                     kept_bytes = b" ".join(kept)
                     out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(kept_bytes).hexdigest(), kept_bytes.decode() if with_text else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])

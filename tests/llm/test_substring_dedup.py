@@ -53,3 +53,13 @@ def test_whole_table(spark):
     got = sorted([tuple(r) for r in op4_substring_dedup(spark, d).collect()], key=str)
     assert got == brute(rows, 13)
     assert any(r[2] for r in got)
+
+
+def test_one_id_with_texts_of_different_lengths(spark):
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choice("abcdefghijkl") + str(rnd.randrange(50)) for _ in range(n))
+    shared = [text(30) for _ in range(4)]
+    rows = [(1, " ".join(shared)), (7, text(40) + " " + shared[0]), (7, text(90)), (7, text(3)), (7, ""), (7, None), (7, shared[1] + " " + text(20))]
+    rows += [(8, shared[2] + " " + text(9)), (8, text(39)), (8, text(9) + " " + shared[2])]
+    check(spark, rows, 4)
+    check(spark, rows, 13)
