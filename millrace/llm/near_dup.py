@@ -8,17 +8,24 @@
    sample i flips the bit hash(i, sample).  The population count of two sketches'
    XOR estimates high similarities closely.
 3. Per band bucket, candidates whose estimate is at least the threshold less 5.5
-   standard deviations are linked; buckets over BLOCK members are dealt out as pairs
-   of blocks.  Only a spanning set of links leaves a task.  The connected parts are
-   families: no true link leaves its family.
-4. Families are dealt out as pairs of blocks of at most BLOCK members with their full
-   sets.  In a task, pairs not connected yet are confirmed on the full sets, best
-   estimate first.  The confirmed links' components are the answer.
+   standard deviations are linked.  The connected parts are families: no true link
+   leaves its family.
+4. Within families, pairs are confirmed on the full sets.  The confirmed links'
+   components are the answer.
+
+Steps 3 and 4 settle their groups in the same two rounds.  A group is dealt out in
+blocks of about BLOCK members (fewer, where sets are long), and its hub, the smallest
+id, goes to each of them.  In a block every member is compared with the hub first and
+then with those it is not connected to; a spanning set of links, one fewer than the
+members at most, leaves the task.  After the components of these links, only members
+of large groups that are not connected with their hub are left over: they alone visit
+the other blocks, in blocks of their own.  So the links are linear in a group's size,
+and so is the shuffle for groups whose members resemble their hub; u members that do
+not cost u / BLOCK copies of the group.
 
 No pair of rows is ever made by a join, no partner or candidate is capped, and copies
 are never expanded into pairs.  The bands miss a pair at the threshold with a chance
-of about 1e-9 (0.85) or 6e-7 (0.8).  A family of m different texts costs about
-m / BLOCK copies of its sets in the shuffle.
+of about 1e-9 (0.85) or 6e-7 (0.8).
 
 Defined cases: words are lowered A-Z only.  With fewer words than a shingle the whole
 sequence is the one shingle; with none the set is empty and links with nothing.  Rows
@@ -41,8 +48,10 @@ from . import textkit as tk
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS, SKETCH_BITS = 36, 5, 512
-BLOCK = 256
-CHUNK_DOCS = 16384
+#: Most members of a block on average, and shingles in it.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 22
+#: Documents and shingles that a task groups before it hands them on.
+CHUNK_DOCS, CHUNK_SHINGLES = 16384, 1 << 23
 _SAMPLES = BANDS * ROWS
 _SIG = "fp1 long, fp2 long, n long, ids array<long>, bands array<long>, sketch binary"
 
@@ -119,7 +128,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["fp1", "fp2", "n", "ids", "bands", "sketch"])
 
-    held, n_docs = {}, 0
+    held, n_docs, n_held = {}, 0, 0
     for batch in batches:
         data, off = tk.buffers(batch.column(1))
         for doc, u in zip(batch.column(0).to_pylist(), shingle_sets(data, off), strict=True):
@@ -130,12 +139,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = held.get(key)
             if got is None:
                 held[key] = ([doc], u)
+                n_held += len(u)
             else:
                 got[0].append(doc)
             n_docs += 1
+            if n_held >= CHUNK_SHINGLES:
+                yield flush(held)
+                held, n_docs, n_held = {}, 0, 0
         if n_docs >= CHUNK_DOCS:
             yield flush(held)
-            held, n_docs = {}, 0
+            held, n_docs, n_held = {}, 0, 0
     if held:
         yield flush(held)
 
@@ -190,74 +203,113 @@ def _fixed(col: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
 
 
-def _link_buckets(most: int):
-    """Rows (k1, lo, hi, blk, id, sketch), sorted by the first three: spanning links of each bucket or pair of blocks."""
+def _sketched(most: int):
+    """Links of rows whose sketches are near.  Gives the pairs of a block, and those of two blocks that join labels."""
+
+    def block(ids: np.ndarray, payload: pa.ChunkedArray) -> list[tuple[int, int]]:
+        sk = _fixed(payload)
+        near = flips(sk, sk[0]) <= most
+        pairs = [(0, i) for i in np.flatnonzero(near[1:] & (ids[1:] != ids[0])) + 1]
+        if near.all():
+            return pairs
+        sets = _Sets(len(ids))
+        for i in np.flatnonzero(near).tolist():
+            sets.join(0, i)
+        for i in np.flatnonzero(~near).tolist():
+            for j in np.flatnonzero(flips(sk, sk[i]) <= most).tolist():
+                if sets.join(i, j):
+                    pairs.append((i, j))
+        return pairs
+
+    def visit(payload: pa.ChunkedArray, own: np.ndarray, guests: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+        sk, sets, pairs = _fixed(payload), _Sets(int(labels.max()) + 1), []
+        for g in guests.tolist():
+            for i in own[flips(sk[own], sk[g]) <= most].tolist():
+                if sets.join(int(labels[g]), int(labels[i])):
+                    pairs.append((g, i))
+        return pairs
+
+    return block, visit
+
+
+def _confirmed(percent: int, most: int):
+    """Links of rows whose full sets are alike, as above."""
+
+    def sets_of(payload: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        us = [np.frombuffer(b, np.uint64) for b in payload.to_pylist()]
+        return us, np.stack([odd_sketch(samples(u)) for u in us]).view(np.uint64), np.array([len(u) for u in us])
+
+    def alike(u: np.ndarray, v: np.ndarray) -> bool:
+        both = len(u) + len(v) - len(np.union1d(u, v))
+        return 100 * both >= percent * (len(u) + len(v) - both)
+
+    def close(sk: np.ndarray, size: np.ndarray, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the others, those that may be alike to i, and their flips."""
+        x = flips(sk[others], sk[i])
+        ok = (x <= most) & (100 * np.minimum(size[i], size[others]) >= percent * np.maximum(size[i], size[others]))
+        return others[ok], x[ok]
+
+    def take(us: list[np.ndarray], sets: _Sets, labels: np.ndarray, found: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+        """Confirms found candidates, the closest first, unless they are connected by then."""
+        if not found:
+            return []
+        i = np.concatenate([np.full(len(j), i) for i, j, _ in found])
+        j, x = np.concatenate([j for _, j, _ in found]), np.concatenate([x for _, _, x in found])
+        order, pairs = np.argsort(x, kind="stable"), []
+        for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            if sets.root(int(labels[p])) != sets.root(int(labels[q])) and alike(us[p], us[q]):
+                sets.join(int(labels[p]), int(labels[q]))
+                pairs.append((p, q))
+        return pairs
+
+    def block(ids: np.ndarray, payload: pa.ChunkedArray) -> list[tuple[int, int]]:
+        us, sk, size = sets_of(payload)
+        n = len(us)
+        sets, at = _Sets(n), np.arange(n)
+        pairs = take(us, sets, at, [(0, *close(sk, size, 0, at[1:]))])
+        for i in range(1, n):
+            if ids[i] == ids[0]:
+                sets.join(0, i)
+        left = [i for i in range(1, n) if sets.root(i) != sets.root(0)]
+        return pairs + take(us, sets, at, [(i, *close(sk, size, i, at[at != i])) for i in left])
+
+    def visit(payload: pa.ChunkedArray, own: np.ndarray, guests: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+        us, sk, size = sets_of(payload)
+        sets = _Sets(int(labels.max()) + 1)
+        return take(us, sets, labels, [(g, *close(sk, size, g, own[labels[own] != labels[g]])) for g in guests.tolist()])
+
+    return block, visit
+
+
+def _in_blocks(block):
+    """Rows (key, blk, id, payload), sorted by the first three: links of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 3):
-            cuts = _cuts(t, 3)
-            ids, sk, blk = np.asarray(t.column(4)), _fixed(t.column(5)), np.asarray(t.column(3))
-            first = np.repeat(cuts[:-1], np.diff(cuts))
-            to_first = flips(sk, sk[first]) <= most
-            star = to_first & (ids != ids[first])
-            pairs = list(zip(ids[star].tolist(), ids[first][star].tolist(), strict=True))
-            sizes = np.diff(cuts)
-            missing = np.add.reduceat(~to_first, cuts[:-1]) if len(ids) else np.zeros(0)
-            for g in np.flatnonzero((missing > 0) & (sizes > 2)):
-                lo, hi = int(cuts[g]), int(cuts[g + 1])
-                sets, linked = _Sets(hi - lo), to_first[lo:hi]
-                for i in np.flatnonzero(linked):
-                    sets.join(0, int(i))
-                for i in np.flatnonzero(~linked).tolist():
-                    near = flips(sk[lo:hi], sk[lo + i]) <= most
-                    for j in np.flatnonzero(near).tolist():
-                        if sets.join(i, j) and ids[lo + i] != ids[lo + j]:
-                            pairs.append((int(ids[lo + i]), int(ids[lo + j])))
-            del blk
-            if pairs:
-                yield _edges(pairs)
+        for t in _groups(batches, 2):
+            cuts, ids, out = _cuts(t, 2), np.asarray(t.column(2)), []
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if z - a > 1:
+                    out += [(ids[a + i], ids[a + j]) for i, j in block(ids[a:z], t.column(3).slice(a, z - a)) if ids[a + i] != ids[a + j]]
+            if out:
+                yield _edges(out)
 
     return run
 
 
-def _confirm(percent: int, most: int):
-    """Rows (fam, lo, hi, blk, id, set), sorted by the first three: spanning confirmed links of each pair of blocks."""
+def _in_visits(visit):
+    """Rows (key, blk, guests, guest, label, id, payload), sorted by the first three: links of guests with a block's own rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3):
-            cuts = _cuts(t, 3)
-            lows, highs, blocks, all_ids = (np.asarray(t.column(i)) for i in (1, 2, 3, 4))
+            cuts, out = _cuts(t, 3), []
+            guest, label, ids = (np.asarray(t.column(i)) for i in (3, 4, 5))
             for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                n = z - a
-                if n < 2:
-                    continue
-                ids = all_ids[a:z]
-                us = [np.frombuffer(b, np.uint64) for b in t.column(5).slice(a, n).to_pylist()]
-                sk = np.stack([odd_sketch(samples(u)) for u in us]).view(np.uint64)
-                size = np.array([len(u) for u in us])
-                sets, pairs = _Sets(n), []
-                cross = lows[a] != highs[a]
-                found_i, found_j, found_x = [], [], []
-                for i in range(n - 1):
-                    x = flips(sk[i + 1 :], sk[i])
-                    ok = (x <= most) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :]))
-                    if cross:
-                        ok &= blocks[a + i] != blocks[a + i + 1 : z]
-                    j = np.flatnonzero(ok)
-                    found_i.append(np.full(len(j), i))
-                    found_j.append(j + i + 1)
-                    found_x.append(x[j])
-                order = np.argsort(np.concatenate(found_x), kind="stable")
-                for i, j in zip(np.concatenate(found_i)[order].tolist(), np.concatenate(found_j)[order].tolist(), strict=True):
-                    if sets.root(i) == sets.root(j):
-                        continue
-                    both = len(us[i]) + len(us[j]) - len(np.union1d(us[i], us[j]))
-                    if 100 * both >= percent * (len(us[i]) + len(us[j]) - both):
-                        sets.join(i, j)
-                        if ids[i] != ids[j]:
-                            pairs.append((int(ids[i]), int(ids[j])))
-                if pairs:
-                    yield _edges(pairs)
+                g = guest[a:z]
+                if not g.all() and g.any():
+                    labels = np.unique(label[a:z], return_inverse=True)[1]
+                    out += [(ids[a + i], ids[a + j]) for i, j in visit(t.column(6).slice(a, z - a), np.flatnonzero(g == 0), np.flatnonzero(g), labels) if ids[a + i] != ids[a + j]]
+            if out:
+                yield _edges(out)
 
     return run
 
@@ -271,26 +323,57 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([u.tobytes() for u in sets], pa.binary())], names=[*part.schema.names[1:], "set"])
 
 
-def _blocks(members: DataFrame, key: str, keep: list[str]) -> DataFrame:
-    """Deals groups (key, n members) out as pairs of blocks: (key, lo, hi, blk, id, ...)."""
-    nb = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.where("nb = 1 or other <> blk")
-    if key == "fam":
-        # within a block once, not in each of its pairs
-        own = members.withColumn("nb", nb).where("nb > 1").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.col("blk"))
-        dealt = dealt.unionByName(own)
-    return dealt.select(key, F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "id", *keep)
+def _dealt(members: DataFrame, payload: str) -> DataFrame:
+    """Members (key, nb, hub, id) in their block; the hub in each of its group's blocks."""
+    every = F.sequence(F.lit(0), F.col("nb") - 1)
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    return members.withColumn("blk", F.explode(F.when(F.col("id") == F.col("hub"), every).otherwise(own))).select("key", "blk", "id", payload)
+
+
+def links_in_blocks(members: DataFrame, payload: str, block) -> DataFrame:
+    """First round: distinct links (a, b) of members with their hub and within blocks."""
+    parts = sparkkit.partitions(members.sparkSession)
+    rows = _dealt(members, payload).repartition(parts, "key", "blk").sortWithinPartitions("key", "blk", "id")
+    return rows.mapInArrow(_in_blocks(block), "a long, b long").distinct()
+
+
+def _settle(groups: DataFrame, members, payload: str, checks) -> DataFrame:
+    """Components of the links within groups (key, nb, hub), as (id, component).
+
+    ``members`` gives the rows (key, nb, hub, id, payload) of such groups; a row's group is known.
+    """
+    block, visit = checks
+    comp = sparkkit.components(links_in_blocks(members(groups), payload, block))
+    large = groups.where("nb > 1")
+    if large.isEmpty():
+        return comp
+    comp = sparkkit.cut(comp)
+    labels = comp.select(F.col("id").alias("v"), "component")
+    rows = members(large).join(labels, F.col("id") == F.col("v"), "left").withColumn("label", F.coalesce("component", "id")).drop("v", "component")
+    hubs = large.join(labels, F.col("hub") == F.col("v"), "left").select(F.col("key").alias("k"), F.coalesce("component", "hub").alias("top"))
+    left = rows.select("key", "nb", "label", "id").join(hubs, F.col("key") == F.col("k")).where("label <> top").select("key", "nb", "label", "id").distinct()
+    left = sparkkit.cut(left)
+    if left.isEmpty():
+        return comp
+    size = left.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nu"))
+    rows = rows.join(size, F.col("key") == F.col("k")).drop("k")
+    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = rows.select("key", of("nb").alias("blk"), every("nu").alias("guests"), F.lit(0).alias("guest"), "label", "id", payload)
+    away = left.select(F.col("key").alias("k"), F.col("id").alias("v"))
+    guests = rows.join(away, (F.col("key") == F.col("k")) & (F.col("id") == F.col("v")), "left_semi")
+    guests = guests.select("key", every("nb").alias("blk"), of("nu").alias("guests"), F.lit(1).alias("guest"), "label", "id", payload)
+    parts = sparkkit.partitions(left.sparkSession)
+    dealt = own.unionByName(guests).repartition(parts, "key", "blk", "guests").sortWithinPartitions("key", "blk", "guests")
+    more = dealt.mapInArrow(_in_visits(visit), "a long, b long")
+    return sparkkit.components(more.unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept, for links of similarity percent / 100 or more."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = sparkkit.partitions(spark)
     most = max_flips(percent)
 
     chunks = sparkkit.cut(src.mapInArrow(_signatures, _SIG))
@@ -300,18 +383,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = sparkkit.cut(sigs)
 
     band = sigs.select("id", F.posexplode("bands").alias("band", "k")).select("id", F.xxhash64("band", "k").alias("k1"))
-    held = sparkkit.cut(band.groupBy("k1").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("k1", "n"))
-    members = band.join(held, "k1").join(sigs.select("id", "sketch"), "id")
-    dealt = _blocks(members, "k1", ["sketch"])
-    links = dealt.repartition(parts, "k1", "lo", "hi").sortWithinPartitions("k1", "lo", "hi").mapInArrow(_link_buckets(most), "a long, b long")
-    families = sparkkit.components(links)
-
-    sizes = sparkkit.cut(families.groupBy("component").agg(F.count("*").alias("n")))
-    fam = families.join(sizes, "component").select("id", F.col("component").alias("fam"), "n")
-    texts = src.join(fam, src.doc_id == fam.id).select("text", "id", "fam", "n").mapInArrow(_set_rows, "id long, fam long, n long, set binary").where("length(set) > 0")
-    dealt = _blocks(texts, "fam", ["set"])
-    sure = dealt.repartition(parts, "fam", "lo", "hi").sortWithinPartitions("fam", "lo", "hi").mapInArrow(_confirm(percent, most), "a long, b long")
-    comp = sparkkit.components(sure)
+    buckets = band.groupBy(F.col("k1").alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
+    buckets = sparkkit.cut(buckets.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), "hub"))
+    families = _settle(buckets, lambda g: band.join(g, F.col("k1") == F.col("key")).join(sigs.select("id", "sketch"), "id"), "sketch", _sketched(most))
+
+    families = sparkkit.cut(families)
+    lengths = named.where("rep is not null").groupBy(F.col("rep").alias("r")).agg(F.max("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = families.join(lengths, F.col("id") == F.col("r")).groupBy(F.col("component").alias("key")).agg(blocks.alias("nb"), F.min("component").alias("hub"))
+    sizes = sparkkit.cut(sizes)
+
+    def texts(groups: DataFrame) -> DataFrame:
+        fam = families.join(groups, F.col("component") == F.col("key")).drop("component")
+        return src.join(fam, src.doc_id == fam.id).select("text", "key", "nb", "hub", "id").mapInArrow(_set_rows, "key long, nb int, hub long, id long, set binary").where("length(set) > 0")
+
+    comp = _settle(sizes, texts, "set", _confirmed(percent, most))
 
     rows = named.join(comp, named.rep == comp.id, "left").select("n", F.explode("ids").alias("doc_id"), F.coalesce("component", "rep").alias("c"))
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
@@ -320,8 +406,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The input's rows without those whose component has a smaller id; rows of one id all stay or go."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    name = sparkkit.fresh(docs, "gone")
+    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +34,12 @@ def buckets(df: DataFrame, target: int, per_partition: int = 4, most: int = 1 <<
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder of our own only where none is named (local tests)."""
+    """The cluster's spark.checkpoint.dir; a temporary folder of our own only in local mode, where none is named."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -47,33 +50,78 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """Cuts lineage by a table in the shared folder, and the table's path.
+
+    Loops use this: a checkpoint carries its plan's size estimate along, which grows
+    with every join until planning takes longer than the work; a table has its real size.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def _least(edges: DataFrame, n: int, parts: int) -> DataFrame:
+    """Edges (a, b) with m, the least b or a itself at each a.
+
+    A vertex with over a quarter of a partition's share of the n edges is hot; there are at
+    most 4 * parts of them, so their list may be broadcast.  Their edges are spread by a hash
+    of b over as many keys as they have such shares, and only their minimum is repeated.
+    """
+    hot = max(n // (4 * parts), 64)
+    low = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.ceil(F.count("*") / hot).cast("int").alias("s"))
+    many = low.where("s > 1").select(F.col("a").alias("hot"), F.col("s").alias("ways"))
+    dealt = edges.join(F.broadcast(many), F.col("a") == F.col("hot"), "left")
+    dealt = dealt.select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("ways")), F.lit(0)).cast("int").alias("salt"))
+    low = low.select("a", "m", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"))
+    return dealt.join(low, ["a", "salt"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of ``edges`` (a, b): a row (id, component) per vertex, component the least id reachable.
 
     Alternating large-star and small-star steps: every step is a grouped minimum
-    and an equi-join, so hubs are pre-aggregated before the shuffle, and the
-    number of steps grows with the logarithm of the component size.  Lineage is
-    cut by a reliable checkpoint after each round; only the edge count comes to the driver.
+    and an equi-join, salted at hubs, and the number of steps grows with the
+    logarithm of the component size.  Lineage is cut by a table in the shared
+    folder after each step; only the edge count comes to the driver.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e = cut(e)
-    last = None
+    spark = edges.sparkSession
+    parts = partitions(spark)
+    e, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    tally = lambda: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+    last = tally()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        large, mid = written(_least(both, 2 * last["n"], parts).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        joined = _least(large, last["n"], parts)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
-        e = cut(small.where("a <> b").distinct())
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if (now["n"], now["s"]) == last:
+        old = path
+        e, path = written(small.where("a <> b").distinct())
+        remove(spark, [old, mid])
+        now = tally()
+        if now == last:
             break
-        last = (now["n"], now["s"])
+        last = now
     else:
         raise RuntimeError("components did not settle")
+    # settled: every vertex but a root has one edge, to its root
     roots = e.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
-    return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").unionByName(roots)
+    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
 def deal(df: DataFrame, col: str, parts: int) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from millrace.llm import near_dup, sparkkit
 from millrace.llm.near_dup import drop_near_duplicates, max_flips, near_duplicates, odd_sketch, op10_near_duplicates, samples, flips
 
 
@@ -84,3 +85,43 @@ def test_whole_table(spark):
     got = sorted([tuple(r) for r in op10_near_duplicates(spark, d).collect()], key=str)
     assert got == brute(rows, 85)
     assert any(not r[3] for r in got)
+
+
+def test_chains_over_many_blocks(spark, monkeypatch):
+    """Families of many blocks whose members are not all alike to the hub: the second round is needed."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    rnd = random.Random(5)
+    texts = []
+    for n in (40, 25):
+        w = [f"w{rnd.randrange(300)}" for _ in range(120)]
+        for _ in range(n):
+            w = list(w)
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(9999)}"
+            texts.append(" ".join(w))
+    rnd.shuffle(texts)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = sorted([tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()], key=str)
+    assert got == brute(rows, 85)
+    assert sum(r[3] for r in got) < 10
+
+
+def test_links_are_linear(spark, monkeypatch):
+    """Distinct links of a large family, before their components, in both stages."""
+    seen = []
+    plain = sparkkit.components
+    monkeypatch.setattr(sparkkit, "components", lambda e: seen.append(e.count()) or plain(e))
+    rnd = random.Random(6)
+    seed = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(1200):
+        w = list(seed)
+        w[rnd.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=85).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert len(seen) >= 2 and seen[0] < 20 * 1200 and all(n < 3 * 1200 for n in seen[1:])
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", 1, "x", "y"), (2, "A b c", 2, "x", "y"), (3, "q", 3, "x", "y")], "doc_id long, text string, gone long, _gone string, component string")
+    assert {r["doc_id"] for r in drop_near_duplicates(df).collect()} == {1, 3}
