@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import metrics, model
 from ..functions import jsonx
+from ..functions.columns import bound, unused
 from ..pipeline import BlockResult
 
 ORDER = ("event_time", "event_seq")
@@ -24,12 +25,15 @@ def _ttl_scan(df: DataFrame, key: Column, clock: str, order: tuple[str, ...], tt
     state, never a key's rows.
     """
     schema = df.schema
-    work = df.withColumn("_k", F.xxhash64(key)).withColumn("_k2", key.cast("string")).withColumn("_t", F.unix_micros(F.col(clock).cast("timestamp"))).withColumn("_s", state.cast("long") if state is not None else F.lit(0).cast("long"))
-    work = work.repartition("_k").sortWithinPartitions("_k", "_k2", "_t", *order)
+    h, k, t, st = unused(df, "_h", "_k", "_t", "_s")
+    at = F.coalesce(F.unix_micros(F.col(clock).cast("timestamp")), F.lit(0))
+    helpers = {h: F.xxhash64(key), k: key.cast("string"), t: at, st: state.cast("long") if state is not None else F.lit(0).cast("long")}
+    work = df.select("*", *[v.alias(c) for c, v in helpers.items()])
+    work = work.repartition(h).sortWithinPartitions(h, k, t, *order)
     n = len(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, anchor, held = None, 0, 0
+        now, anchor, held = run, 0, 0  # no key equals the function
         for b in batches:
             keys, times, states = b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist(), b.column(n + 3).to_pylist()
             keep = np.zeros(b.num_rows, bool)
@@ -46,7 +50,8 @@ class Deduplicator:
     """The first row of each key passes; with a TTL, also the first at or after each expiry.
 
     The TTL counts from the row that passed and does not slide.  ``clock`` stands in for
-    processing time.  Rows without a key are one group.
+    processing time; a row without a time counts as at 1970-01-01.  Rows without a key are
+    one group, apart from those with an empty key.
     """
 
     key: Column
@@ -60,9 +65,10 @@ class Deduplicator:
 
             return BlockResult(dedup_stream(df, self.key, self.ttl_ms))
         if self.ttl_ms is not None:
-            return BlockResult(_ttl_scan(df, F.coalesce(self.key.cast("string"), F.lit("")), self.clock, self.order, self.ttl_ms, None))
-        w = Window.partitionBy("_key").orderBy(*self.order)
-        return BlockResult(df.withColumn("_key", self.key).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n"))
+            return BlockResult(_ttl_scan(df, self.key, self.clock, self.order, self.ttl_ms, None))
+        k, n = unused(df, "_key", "_n")
+        w = Window.partitionBy(k).orderBy(*self.order)
+        return BlockResult(df.withColumn(k, self.key).withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(k, n))
 
 
 @dataclass(frozen=True)
@@ -87,11 +93,12 @@ class ChangeSuppressor:
 
             return BlockResult(suppress_stream(df, self.key, self._hash(), self.ttl_ms))
         if self.ttl_ms is not None:
-            return BlockResult(_ttl_scan(df, F.coalesce(self.key.cast("string"), F.lit("")), self.clock, self.order, self.ttl_ms, self._hash()))
-        w = Window.partitionBy("_key").orderBy(*self.order)
-        rows = df.withColumn("_key", self.key).withColumn("_h", self._hash())
-        rows = rows.withColumn("_prev", F.lag("_h").over(w)).withColumn("_n", F.row_number().over(w))
-        return BlockResult(rows.where("_n = 1 or _prev <> _h").drop("_key", "_h", "_prev", "_n"))
+            return BlockResult(_ttl_scan(df, self.key, self.clock, self.order, self.ttl_ms, self._hash()))
+        k, h, prev, n = unused(df, "_key", "_h", "_prev", "_n")
+        w = Window.partitionBy(k).orderBy(*self.order)
+        rows = df.select("*", self.key.alias(k), self._hash().alias(h))
+        rows = rows.withColumn(prev, F.lag(h).over(w)).withColumn(n, F.row_number().over(w))
+        return BlockResult(rows.where((F.col(n) == 1) | (F.col(prev) != F.col(h))).drop(k, h, prev, n))
 
 
 def _counted(rows: DataFrame, op: str, name: str) -> tuple[DataFrame, dict]:
@@ -112,14 +119,17 @@ class SchemaVersion:
         if unknown := set(self.required.values()) - jsonx.TYPES.keys():
             raise ValueError(f"unknown field types: {sorted(unknown)}")
 
+    @staticmethod
+    def _said(t: Column, name: str, kind: str) -> Column:
+        missing = t.isNull() | (t == "VOID")
+        wrong = ~t.isin(*jsonx.TYPES[kind]) if jsonx.TYPES[kind] else F.lit(False)
+        return F.when(missing, f"missing required field: {name}").when(wrong, F.concat(F.lit(f"{name} expected {kind} but got "), t))
+
     def violations(self, p: Column, json: str = "payload_json") -> Column:
         """Array of messages, empty if the payload conforms."""
         out = []
         for name, kind in self.required.items():
-            t = jsonx.type_of(p, name)
-            missing = t.isNull() | (t == "VOID")
-            wrong = ~t.isin(*jsonx.TYPES[kind]) if jsonx.TYPES[kind] else F.lit(False)
-            out.append(F.when(missing, f"missing required field: {name}").when(wrong, F.concat(F.lit(f"{name} expected {kind} but got "), t)))
+            out.append(bound(jsonx.type_of(p, name), lambda t, name=name, kind=kind: self._said(t, name, kind)))
         found = F.array_compact(F.array(*out)) if out else F.expr("cast(array() as array<string>)")
         if self.strict:
             declared = F.array(*[F.lit(n) for n in (*self.required, *self.optional)]) if self.required or self.optional else F.expr("cast(array() as array<string>)")
@@ -144,15 +154,14 @@ class SchemaEnforcer:
 
     def checked(self, df: DataFrame) -> DataFrame:
         """Adds ``_violations``: null where a version passes, else all messages, newest version first."""
-        df = df.withColumn("_p", jsonx.payload(self.payload))
-        messages, ok = [], F.lit(False)
-        for i in range(len(self.versions), 0, -1):
-            v = self.versions[i - 1].violations(F.col("_p"), self.payload)
-            df = df.withColumn(f"_v{i}", v)
-            ok = ok | (F.size(f"_v{i}") == 0)
-            messages.append(F.concat(F.lit(f"[v{i}] "), F.array_join(f"_v{i}", ", ")))
-        df = df.withColumn("_violations", F.when(~ok, F.concat_ws("; ", *messages)))
-        return df.drop("_p", *[f"_v{i}" for i in range(1, len(self.versions) + 1)])
+        newest = range(len(self.versions), 0, -1)
+
+        def told(found: Column) -> Column:
+            said = [F.concat(F.lit(f"[v{v}] "), F.array_join(found[i], ", ")) for i, v in enumerate(newest)]
+            return F.when(~F.exists(found, lambda x: F.size(x) == 0), F.concat_ws("; ", *said))
+
+        every = lambda p: F.array(*[self.versions[v - 1].violations(p, self.payload) for v in newest])
+        return df.withColumn("_violations", bound(bound(jsonx.payload(self.payload), every), told))
 
     def apply(self, df: DataFrame) -> BlockResult:
         rows, seen = _counted(self.checked(df), "schema", self.name) if self.counted else (self.checked(df), {})
@@ -188,6 +197,7 @@ class FormatRule:
     field: str
     pattern: str
 
+    # The two patterns, which messages quote.
     @classmethod
     def email(cls, field: str) -> FormatRule:
         return cls(field, r"^[\w.-]+@[\w.-]+\.[a-zA-Z]{2,}$")
@@ -215,11 +225,9 @@ class ConstraintEnforcer:
             raise ValueError("at least one rule is required")
 
     def checked(self, df: DataFrame) -> DataFrame:
-        p = F.col("_p")
-        json = F.when(jsonx.keys(self.payload).isNotNull(), F.col(self.payload))
-        df = df.withColumn("_p", F.when(json.isNotNull(), jsonx.payload(self.payload)))
-        found = F.array_compact(F.array(*[r.violation(p, self.payload) for r in self.rules]))
-        return df.withColumn("_violations", F.when(F.size(found) > 0, F.array_join(found, "; "))).drop("_p")
+        p = F.when(jsonx.keys(self.payload).isNotNull(), jsonx.payload(self.payload))
+        found = bound(p, lambda p: F.array_compact(F.array(*[r.violation(p, self.payload) for r in self.rules])))
+        return df.withColumn("_violations", bound(found, lambda x: F.when(F.size(x) > 0, F.array_join(x, "; "))))
 
     def apply(self, df: DataFrame) -> BlockResult:
         rows, seen = _counted(self.checked(df), "constraint", self.name) if self.counted else (self.checked(df), {})

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import metrics, model
 from ..functions import jsonx
+from ..functions.columns import bound, unused
 from ..pipeline import BlockResult
 
 #: Envelope fields as their names in JSON text.
@@ -31,25 +34,33 @@ class EnvelopeParser:
     def apply(self, df: DataFrame) -> BlockResult:
         raw = F.col(self.column)
         t = F.trim(raw)
-        rows = df.where(t.startswith("{") & t.endswith("}"))
-        p = F.col("_p")
-        rows = rows.withColumn("_p", F.try_parse_json(raw))
-        kinds = [F.coalesce(jsonx.type_of(p, n), F.lit("VOID")) for n in JSON_NAMES.values()]
-        wrong = F.exists(F.array(*kinds), lambda k: k.isin("OBJECT", "ARRAY"))
-        when = jsonx.text(p, "eventTime")
-        bad = p.isNull() | wrong | (when.isNotNull() & F.expr("try_to_timestamp(cast(try_variant_get(_p, '$.eventTime', 'string') as string))").isNull())
-        rows = rows.withColumn("_bad", F.coalesce(bad, F.lit(True)))
-        meta = F.try_variant_get(p, "$.metadata", "map<string,string>") if self.keep_metadata else None
-        now = F.current_timestamp()
-        fields = {k: jsonx.text(p, n) for k, n in JSON_NAMES.items()}
-        fields |= {
-            "event_time": F.coalesce(F.expr("try_to_timestamp(cast(try_variant_get(_p, '$.eventTime', 'string') as string))"), now),
-            "event_seq": self.seq if self.seq is not None else F.try_variant_get(p, "$.eventSeq", "bigint"),
+        now, empty = F.current_timestamp(), F.expr("cast(map() as map<string,string>)")
+
+        def fields(p: Column, when: Column) -> Column:
+            """One struct of all that a text holds, and whether it is malformed."""
+            nested = [jsonx.get(p, n, kind).isNotNull() for n in JSON_NAMES.values() for kind in ("array<variant>", "map<string,variant>")]
+            bad = p.isNull() | (when.isNotNull() & when.try_cast("timestamp").isNull()) | reduce(or_, nested)
+            got = {k: jsonx.text(p, n) for k, n in JSON_NAMES.items()}
+            got["event_time"] = when.try_cast("timestamp")
+            got["event_seq"] = F.try_variant_get(p, "$.eventSeq", "bigint")
+            if self.keep_metadata:
+                got["metadata"] = F.try_variant_get(p, "$.metadata", "map<string,string>")
+            return F.struct(F.coalesce(bad, F.lit(True)).alias("bad"), *[v.alias(k) for k, v in got.items()])
+
+        parsed = F.transform(F.array(F.try_parse_json(raw)), lambda p: bound(jsonx.text(p, "eventTime"), lambda w: fields(p, w)))
+        # a generated row is not folded into the filters after it, so each text is parsed once
+        got, = unused(df, "_got")
+        rows = df.where(t.startswith("{") & t.endswith("}")).select("*", F.explode(parsed).alias(got))
+        r = F.col(got)
+        values = {k: r[k] for k in JSON_NAMES}
+        values |= {
+            "event_time": F.coalesce(r["event_time"], now),
+            "event_seq": self.seq if self.seq is not None else r["event_seq"],
             "processed_time": now,
-            "metadata": F.coalesce(meta, F.expr("cast(map() as map<string,string>)")) if meta is not None else F.expr("cast(map() as map<string,string>)"),
+            "metadata": F.coalesce(r["metadata"], empty) if self.keep_metadata else empty,
         }
-        good = rows.where("not _bad").select(*[fields[f.name].cast(f.dataType).alias(f.name) for f in model.ENVELOPE])
-        dlq = model.dead_letters(rows.where("_bad"), model.PARSING_ERROR, F.lit("malformed envelope"), "EnvelopeParser", raw)
+        good = rows.where(~r["bad"]).select(*[values[f.name].cast(f.dataType).alias(f.name) for f in model.ENVELOPE])
+        dlq = model.dead_letters(rows.where(r["bad"]), model.PARSING_ERROR, F.lit("malformed envelope"), "EnvelopeParser", raw)
         return BlockResult(good, dlq)
 
 

@@ -21,13 +21,16 @@ class Materializer:
     A row for which ``delete`` holds gives DELETE (before may be null); else a key without
     a live value gives INSERT, with one UPDATE, even if nothing changed.  A value expires
     at ``ttl_ms`` after its last write.  ``merge(acc, new)`` combines the envelope structs;
-    the default replaces.  Rows without a key are passed over.
+    the default replaces.  Rows without a key are passed over.  A stream's state is folded
+    row by row, so there ``row_merge(acc, new)`` does the same on rows as dicts of their JSON
+    values; a stream with ``merge`` alone is refused.
     """
 
     key: str = "primary_key"
     ttl_ms: int | None = None
     delete: Column | None = None
     merge: Callable[[Column, Column], Column] | None = None
+    row_merge: Callable[[dict, dict], dict] | None = None
     clock: str = "event_time"
     order: tuple[str, ...] = ORDER
 
@@ -35,7 +38,11 @@ class Materializer:
         if df.isStreaming:
             from ..streaming.processors import materialize_stream
 
-            return BlockResult(materialize_stream(df, F.col(self.key), self.delete, self.ttl_ms))
+            if self.merge and not self.row_merge:
+                raise ValueError("a stream needs row_merge beside merge")
+            return BlockResult(materialize_stream(df, F.col(self.key), self.delete, self.ttl_ms, self.row_merge))
+        if self.row_merge and not self.merge:
+            raise ValueError("a bounded table needs merge beside row_merge")
         return BlockResult(self._merged(df) if self.merge else self._replaced(df))
 
     def _rows(self, df: DataFrame) -> DataFrame:

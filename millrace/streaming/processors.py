@@ -1,13 +1,15 @@
 """Exact processing-time state: dedup, change suppression, materialisation, silence.
 
 Each is a row processor of ``transformWithState`` with one small value per key, expired
-by the state store's TTL.  The rows travel as JSON text and are parsed back into the
-input's schema, so any schema passes.  The RocksDB state store is required.
+by the state store's TTL.  The rows travel as JSON text, with times to the microsecond,
+and are parsed back into the input's schema, so any schema passes.  A null key and an
+empty one are two keys.  The RocksDB state store is required.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +59,8 @@ class _Suppress(StatefulProcessor):
 
 
 class _Materialize(StatefulProcessor):
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None, merge: Callable[[dict, dict], dict] | None = None):
+        self.ttl_ms, self.merge = ttl_ms, merge
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.value = handle.getValueState("value", _VALUE, ttlDurationMs=self.ttl_ms)
@@ -70,8 +72,11 @@ class _Materialize(StatefulProcessor):
                 self.value.clear()
                 yield Row(kind="DELETE", key=key[0], row=None, before=before, at=r["_at"])
             else:
-                self.value.update((r["_row"],))
-                yield Row(kind="INSERT" if before is None else "UPDATE", key=key[0], row=r["_row"], before=before, at=r["_at"])
+                row = r["_row"]
+                if before is not None and self.merge is not None:
+                    row = json.dumps(self.merge(json.loads(before), json.loads(row)))
+                self.value.update((row,))
+                yield Row(kind="INSERT" if before is None else "UPDATE", key=key[0], row=row, before=before, at=r["_at"])
 
     def close(self) -> None:
         pass
@@ -107,13 +112,20 @@ class _Silence(StatefulProcessor):
         pass
 
 
+#: Times as JSON text and back without loss.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def _run(df: DataFrame, key: Column, processor: StatefulProcessor, **extra: Column) -> DataFrame:
-    rows = df.select(F.coalesce(key.cast("string"), F.lit("")).alias("_key"), F.to_json(F.struct("*")).alias("_row"), *[v.alias(k) for k, v in extra.items()])
-    return rows.groupBy("_key").transformWithState(processor, _OUT, "append", "processingTime")
+    # a sign before the key tells an empty one from none
+    signed = F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("-"))
+    rows = df.select(signed.alias("_key"), F.to_json(F.struct("*"), _TIMES).alias("_row"), *[v.alias(k) for k, v in extra.items()])
+    out = rows.groupBy("_key").transformWithState(processor, _OUT, "append", "processingTime")
+    return out.withColumn("key", F.when(F.col("key") != "-", F.substring("key", 2, 2**31 - 1)))
 
 
 def _rows(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return df.select(F.from_json("row", schema).alias("r")).select("r.*")
+    return df.select(F.from_json("row", schema, _TIMES).alias("r")).select("r.*")
 
 
 def dedup_stream(df: DataFrame, key: Column, ttl_ms: int | None) -> DataFrame:
@@ -129,11 +141,11 @@ def suppress_stream(df: DataFrame, key: Column, fingerprint: Column, ttl_ms: int
     return _rows(_run(df, key, _Suppress(ttl_ms), _hash=fingerprint), df.schema)
 
 
-def materialize_stream(df: DataFrame, key: Column, delete: Column | None, ttl_ms: int | None) -> DataFrame:
+def materialize_stream(df: DataFrame, key: Column, delete: Column | None, ttl_ms: int | None, merge: Callable[[dict, dict], dict] | None = None) -> DataFrame:
     gone = F.coalesce(delete, F.lit(False)) if delete is not None else F.lit(False)
     at = F.unix_millis(F.col("event_time")) if "event_time" in df.columns else F.lit(0).cast("long")
-    out = _run(df.where(key.isNotNull()), key, _Materialize(ttl_ms), _del=gone, _at=F.coalesce(at, F.lit(0).cast("long")))
-    return out.select(F.col("kind").alias("change_type"), "key", F.from_json("before", df.schema).alias("before"), F.from_json("row", df.schema).alias("after"), F.timestamp_millis("at").alias("timestamp"))
+    out = _run(df.where(key.isNotNull()), key, _Materialize(ttl_ms, merge), _del=gone, _at=F.coalesce(at, F.lit(0).cast("long")))
+    return out.select(F.col("kind").alias("change_type"), "key", F.from_json("before", df.schema, _TIMES).alias("before"), F.from_json("row", df.schema, _TIMES).alias("after"), F.timestamp_millis("at").alias("timestamp"))
 
 
 def silence_stream(df: DataFrame, key: Column, timeout_ms: int) -> DataFrame:

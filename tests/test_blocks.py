@@ -279,3 +279,27 @@ def test_launcher(spark, tmp_path, capsys):
     assert main(["UserSessionAnalysis", f"{tmp_path}/in", f"{tmp_path}/out"]) == 0
     assert spark.read.json(f"{tmp_path}/out/main").first()["operation"] == "SESSION_CLOSED"
     assert spark.read.text(f"{tmp_path}/out/dlq").count() == 1
+
+
+def test_integrity_with_odd_rows_and_names(spark):
+    t = datetime(2024, 1, 1)
+    rows = [(None, None, 0, "x", 1), (None, None, 1, "x", 2), ("", t, 2, "x", 3), ("", t, 3, "y", 4), ("k", t, 4, "x", 5)]
+    schema = "key string, event_time timestamp, event_seq long, payload_json string, _k long"
+    for extra in ("_key", "_h", "_t", "_n"):
+        df = spark.createDataFrame(rows, schema).withColumn(extra, F.lit("mine"))
+        for block, n in ((integrity.Deduplicator(F.col("key")), 3), (integrity.Deduplicator(F.col("key"), 1000), 3), (integrity.ChangeSuppressor(F.col("key")), 4), (integrity.ChangeSuppressor(F.col("key"), ttl_ms=1000), 4)):
+            got = block.apply(df).main
+            assert got.columns == df.columns
+            out = got.collect()
+            assert len(out) == n and {r[extra] for r in out} == {"mine"}
+
+
+def test_parser_binds_each_text_once(spark):
+    from millrace.operators.parse import EnvelopeParser
+
+    df = spark.createDataFrame([('{"operation":"a","payloadJson":{"x":1}}',), ('{"operation":1,"eventTime":"2024-01-01T00:00:00.123456Z"}',), ('{"eventTime":"nope"}',), ('{"source":[]}',), (" {} ",), ("{",), ("x",), (None,)], "value string")
+    got = EnvelopeParser().apply(df)
+    plan = got.main._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().replace("_", "").count("parsejson") == 1
+    assert sorted((r["operation"] or "") for r in got.main.collect()) == ["", "1"]
+    assert got.dlq.count() == 3

@@ -91,3 +91,30 @@ def test_change_log_source(rocks, tmp_path):
     with pytest.raises(cdc.LostPosition):
         cdc.ChangeLogReader({"path": str(log), "startToken": "99"}).initialOffset()
     assert cdc.ChangeLogReader({"path": str(log), "startToken": "99", "onLostPosition": "latest"}).initialOffset() == {"token": 20}
+
+
+def test_state_keeps_microseconds_and_tells_keys_apart(rocks, tmp_path):
+    at = T0 + timedelta(microseconds=123456)
+    rows = [(op, "s", "p", at, i, None, "t", k, {}) for i, (k, op) in enumerate([(None, "a"), ("", "a"), (None, "b"), ("-", "a"), ("=", "a")])]
+    path = f"{tmp_path}/micro"
+    rocks.createDataFrame(rows, model.ENVELOPE).coalesce(1).write.parquet(path)
+    df = rocks.readStream.schema(model.ENVELOPE).parquet(path)
+    got = run_state(integrity.Deduplicator(F.col("primary_key"), 600_000).apply(df).main, tmp_path, "micro")
+    assert sorted((str(r["primary_key"]), r["operation"]) for r in got) == [("", "a"), ("-", "a"), ("=", "a"), ("None", "a")]
+    assert {r["event_time"] for r in got} == {at}
+    batch = integrity.Deduplicator(F.col("primary_key"), 600_000).apply(rocks.read.schema(model.ENVELOPE).parquet(path)).main.collect()
+    assert sorted((str(r["primary_key"]), r["operation"]) for r in batch) == sorted((str(r["primary_key"]), r["operation"]) for r in got)
+
+
+def test_materializer_merges_like_the_bounded_form(rocks, tmp_path):
+    rows = [(0, "a", "x", "1"), (1, "a", "x", "2"), (2, "a", "DEL", "3"), (3, "a", "x", "4"), (4, "b", "x", "5")]
+    df = stream(rocks, tmp_path, rows)
+    columns = lambda acc, new: new.withField("payload_json", F.concat(acc["payload_json"], new["payload_json"]))
+    dicts = lambda acc, new: new | {"payload_json": acc["payload_json"] + new["payload_json"]}
+    told = lambda got: sorted((r["change_type"], r["key"], r["before"] and r["before"]["payload_json"], r["after"] and r["after"]["payload_json"], r["timestamp"]) for r in got)
+    m = stateful.Materializer(delete=F.col("operation") == "DEL", merge=columns, row_merge=dicts, ttl_ms=600_000)
+    twin = told(run_state(m.apply(df).main, tmp_path, "merged"))
+    assert ("UPDATE", "a", "1", "12") in [t[:4] for t in twin]
+    assert twin == told(m.apply(rocks.read.schema(model.ENVELOPE).parquet(f"{tmp_path}/in")).main.collect())
+    with pytest.raises(ValueError, match="row_merge"):
+        stateful.Materializer(merge=columns).apply(df)
