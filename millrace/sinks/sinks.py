@@ -6,6 +6,7 @@ Each has a projection that is pure DataFrame work, and a writer for batches or,
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from .. import model
 from ..pipeline import BlockResult
 from ..sources.streams import MissingConnector
 
+log = logging.getLogger(__name__)
 UPSERT_BATCH, UPSERT_FLUSH_MS = 500, 1000
 TRANSACTION_TIMEOUT_S = 900
 
@@ -25,13 +27,15 @@ TRANSACTION_TIMEOUT_S = 900
 class BrokerSink:
     """Key: the primary key's bytes or null; value: the envelope as JSON; compacted topics get tombstones.
 
-    The engine's broker writer is at-least-once.  ``exactly_once`` gives the producer
-    idempotence; readers drop repeats by trace id.
+    The engine's broker writer is at-least-once and has no transactions, so ``write`` refuses
+    ``exactly_once``; ``idempotent`` gives the producer idempotence, and readers drop repeats
+    by trace id.
     """
 
     topic: str
     compacted: bool = False
     exactly_once: bool = False
+    idempotent: bool = False
 
     def records(self, df: DataFrame) -> DataFrame:
         value = model.to_json(df).cast("binary")
@@ -41,11 +45,13 @@ class BrokerSink:
 
     def options(self, cfg: C.ScopedConfig) -> dict[str, str]:
         o = {"kafka.bootstrap.servers": cfg.require(C.BROKERS), "topic": self.topic, "kafka.batch.size": str(32 * 1024), "kafka.linger.ms": "50", "kafka.compression.type": "snappy", "kafka.max.in.flight.requests.per.connection": "1"}
-        if self.exactly_once:
+        if self.exactly_once or self.idempotent:
             o |= {"kafka.enable.idempotence": "true", "kafka.acks": "all", "kafka.transaction.timeout.ms": str(TRANSACTION_TIMEOUT_S * 1000)}
         return o
 
     def write(self, df: DataFrame, cfg: C.ScopedConfig):
+        if self.exactly_once:
+            raise ValueError("the engine's broker writer is at-least-once; use idempotent and drop repeats by trace id")
         records = self.records(df)
         try:
             if df.isStreaming:
@@ -129,15 +135,29 @@ class SearchSink:
         return df.where(F.coalesce(F.length(F.trim("trace_id")), F.lit(0)) == 0).count()
 
 
-@dataclass(frozen=True)
+@dataclass
 class DlqSink:
-    """Appends dead letters as JSON text; a failure to write is the writer's alone and never the rows'."""
+    """Writes dead letters as JSON text; a failed write is counted and logged, and never raised."""
 
     path: str
+    failed: int = 0
 
-    def write(self, dlq: DataFrame | None) -> None:
-        if dlq is not None:
-            dlq.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(self.path)
+    def _write(self, dlq: DataFrame, path: str, mode: str) -> bool:
+        try:
+            dlq.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).text(path)
+        except Exception:
+            self.failed += 1
+            log.exception("cannot write dead letters to %s", path)
+            return False
+        return True
+
+    def write(self, dlq: DataFrame | None) -> bool:
+        """Appends; whether the rows are written."""
+        return dlq is None or self._write(dlq, self.path, "append")
+
+    def batch(self, dlq: DataFrame, batch_id: int) -> None:
+        """For ``foreachBatch``: a folder per batch, which a batch that runs again replaces."""
+        self._write(dlq, f"{self.path}/batch={batch_id}", "overwrite")
 
 
 def replay(dlq: DataFrame) -> DataFrame:

@@ -118,3 +118,46 @@ def test_materializer_merges_like_the_bounded_form(rocks, tmp_path):
     assert twin == told(m.apply(rocks.read.schema(model.ENVELOPE).parquet(f"{tmp_path}/in")).main.collect())
     with pytest.raises(ValueError, match="row_merge"):
         stateful.Materializer(merge=columns).apply(df)
+
+
+def lines(folder):
+    return [json.loads(x) for p in sorted(folder.glob("**/part-*.txt")) for x in p.read_text().splitlines()]
+
+
+def test_job_runs_and_resumes(rocks, tmp_path):
+    """A running job: text files in, documents and dead letters out; a second run reads only what is new."""
+    from millrace.plans import runner
+    from millrace.sinks.sinks import latest_version
+
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    say = lambda i, x, op="insert": json.dumps({"operation": op, "source": "orders", "payloadJson": json.dumps({"_id": i, "x": x}), "primaryKey": str(i), "eventTime": f"2024-01-01T00:00:0{x}Z"})
+    (src / "a.txt").write_text("\n".join([say(1, 1), say(2, 1), '{"source": []}', say(1, 2)]))
+    runner.start(rocks, "KafkaToMongo", [str(src)], str(out), once=True).wait(120)
+    (src / "b.txt").write_text("\n".join([say(2, 3, "DELETE"), say(3, 3), json.dumps({"operation": "insert", "payloadJson": "{}"})]))
+    runner.start(rocks, "KafkaToMongo", [str(src)], str(out), once=True).wait(120)
+    last = latest_version(rocks, f"{out}/main")
+    got = {r["key"]: json.loads(r["document"])["x"] for r in rocks.read.parquet(f"{out}/main/v={last}").collect()}
+    assert got == {"1": 2, "3": 3}
+    assert sorted(x["error_type"] for x in lines(out / "dlq")) == ["CONSTRAINT_VIOLATION", "PARSING_ERROR"]
+
+
+def test_routes_of_a_running_job(rocks, tmp_path):
+    from millrace.plans import runner
+
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    (src / "a.txt").write_text("\n".join(json.dumps({"operation": "a", "source": s}) for s in ("orders", "payments", "orders", "other")))
+    job = runner.start(rocks, "EventRouter", [str(src)], str(out), once=True)
+    job.wait(120)
+    assert {k: len(lines(out / k)) for k in ("main", "orders", "payments", "dlq")} == {"main": 1, "orders": 2, "payments": 1, "dlq": 0}
+
+
+def test_failed_dead_letters_stop_nothing(rocks, tmp_path):
+    from millrace.sinks.sinks import BrokerSink, DlqSink
+
+    (tmp_path / "file").write_text("x")
+    sink = DlqSink(f"{tmp_path}/file/below")
+    assert sink.write(rocks.createDataFrame([], model.DLQ)) is False and sink.failed == 1
+    with pytest.raises(ValueError, match="at-least-once"):
+        BrokerSink("t", exactly_once=True).write(rocks.createDataFrame([], model.ENVELOPE), None)
