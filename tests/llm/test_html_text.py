@@ -52,3 +52,34 @@ def test_odd_pages(spark):
 def test_smoothing_keeps_constants():
     assert np.allclose(H.smooth(np.full(9, 3.0)), 3.0)
     assert H.content_region(np.array([5.0, 300, 280, 310, 4]), np.array([9.0, 2, 2, 2, 9]))[1:4].all()
+
+
+def stripped(page):
+    """A page of the table without any element or class that names its parts."""
+    for a, b in (("<article>", "<div>"), ("</article>", "</div>"), ('<div class="ad">', "<div>"), ("<nav>", "<div>"), ("</nav>", "</div>"), ("<footer>", "<div>"), ("</footer>", "</div>")):
+        page = page.replace(a, b)
+    return page
+
+
+def test_ratios_alone_find_the_text(spark):
+    """Without article, nav, footer or classes, the ratios decide; other widths and thresholds give other texts."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [article(p) for p in pages]
+    plain = [stripped(p) for p in pages]
+    right = lambda **kw: sum(H.main_text(p, **kw) == w for p, w in zip(plain, want, strict=True))
+    assert right() >= 0.9 * len(pages)
+    assert right(sigma=4.0) < 0.6 * len(pages) and right(level=0.2) < 0.8 * len(pages)
+    no_article = [H.main_text(p.replace("<article>", "<div>").replace("</article>", "</div>")) for p in pages]
+    assert no_article == want
+
+
+def test_single_words_of_names_do_not_decide():
+    body = "<p>First paragraph with a good many words in it, and more.</p><p>Short.</p><p>Last long paragraph of the article with enough text inside it.</p>"
+    want = "First paragraph with a good many words in it, and more.\n\nShort.\n\nLast long paragraph of the article with enough text inside it."
+    assert H.main_text(f'<body><nav>x</nav><div class="search-engines-explained">{body}</div><footer>f</footer>') == want
+    assert H.main_text(f"<body><header>Site</header><article><header><h1>Title</h1></header>{body}</article>") == "Title\n\n" + want
+    legal = "These terms are a part of what is told here about the law, and are long."
+    assert H.main_text(f'<article>{body}<div class="legal"><p>{legal}</p></div></article>') == want + "\n\n" + legal
+    for junk in ('<div class="ad-slot">Buy</div>', '<div id="cookieNotice"><p>We use cookies</p></div>', '<ul class="site-menu"><li><a>x</a></ul>', "<ul><li><a>Home</a><li><a>News</a></ul>", '<div class="post-comments"><p>I do think that this is a long and winding comment of a reader.</p></div>', '<p>a <span class="ad">b</span></p>'):
+        got = H.main_text(f"<body><article>{body}{junk}</article>")
+        assert got == want + ("\n\na" if "span" in junk else "")
