@@ -9,6 +9,9 @@ sequences are shorter, each a power of two.  No shuffle is needed: a scan's
 partitions pack on their own, and a chunk bounds the memory.  sequence_id is made of
 the partition's number and a counter, so a task that runs again gives the same rows.
 
+The vocabulary file is the installed public one unless a path is given.  An added token's
+text (such as an end-of-text mark) becomes that token, as the tokenizer does by default.
+
 Defined cases: a null or empty text has the end id alone; rows that share a doc_id,
 or have none, are packed as rows of their own; an empty table gives no rows.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sparkkit
-from .tokens import TOKENIZER_DIR, TOKENIZER_FILE, tokenizer
+from .tokens import tokenizer
 
 CAPACITY = 2048
 #: Relative cost of a token and of a pair of tokens.
@@ -62,7 +65,7 @@ def assign(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR,
     return pieces, n_seq + len(rooms)
 
 
-def _pack(path: str, end_id: int | None, capacity: int, linear: float, quadratic: float, chunk: int):
+def _pack(path: str | None, end_id: int | None, capacity: int, linear: float, quadratic: float, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, end_id)
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
@@ -94,7 +97,7 @@ def _pack(path: str, end_id: int | None, capacity: int, linear: float, quadratic
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = f"{TOKENIZER_DIR}/{TOKENIZER_FILE}", end_id: int | None = 1, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int | None = 1, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")

@@ -2,30 +2,39 @@
 
 Byte-level BPE first splits a text by a pattern in which a run of non-space
 characters, with at most one space before it, never shares a piece with the run
-after the next single space or newline.  So the ids of such units can be joined;
-texts with any other spacing are encoded whole.  Both ways give the same ids.
+after the next single space or newline.  So the ids of such units can be joined; texts
+with any other spacing, or with one of the file's added tokens, are encoded whole.  Both
+ways give the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import lru_cache
 
-TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Cached units per worker and position; the cache is emptied when full.
 CACHE_UNITS = 1_000_000
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def public_path(name: str = TOKENIZER_FILE) -> str:
+    """Where the installed vocabulary file of this name is."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 class UnitTokenizer:
     def __init__(self, path: str, end_id: int | None = 1):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        added = [x.content for x in self.t.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.line = self._bytes(self.t.encode("\n", add_special_tokens=False).ids)
         self.end = self._bytes([end_id]) if end_id is not None else b""
         self.tails: dict[str, bytes] = {}
@@ -70,9 +79,10 @@ class UnitTokenizer:
         """Little-endian unsigned 32-bit ids of each text, the end id last; null is an empty text."""
         split, first, rest = [], set(), set()
         for text in texts:
-            lines = [line.split(" ") for line in text.split("\n")] if text else []
+            whole = text and self.added is not None and self.added.search(text)
+            lines = None if whole else [line.split(" ") for line in text.split("\n")] if text else []
             split.append(lines)
-            for units in lines:
+            for units in lines or ():
                 first.add(units[0])
                 rest.update(units[1:])
         self._fill(self.caches[0], first, "")
@@ -80,6 +90,9 @@ class UnitTokenizer:
         at_start, inside = self.caches[0].__getitem__, self.caches[1].__getitem__
         out = []
         for text, lines in zip(texts, split, strict=True):
+            if lines is None:
+                out.append(self._bytes(self.t.encode(text, add_special_tokens=False).ids) + self.end)
+                continue
             try:
                 parts = []
                 for units in lines:
@@ -93,5 +106,6 @@ class UnitTokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str, end_id: int | None = 1) -> UnitTokenizer:
-    return UnitTokenizer(path, end_id)
+def tokenizer(path: str | None = None, end_id: int | None = 1) -> UnitTokenizer:
+    """A worker's tokenizer; without a path, of the file installed where the worker runs."""
+    return UnitTokenizer(path or public_path(), end_id)

@@ -1,19 +1,19 @@
 import random
 import zlib
 
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from millrace.llm.packing import assign, op7_pack_sequences, pack_documents
-from millrace.llm.tokens import TOKENIZER_DIR, TOKENIZER_FILE, UnitTokenizer
+from millrace.llm.tokens import UnitTokenizer
 
-PATH = f"{TOKENIZER_DIR}/{TOKENIZER_FILE}"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda x: b"".join(i.to_bytes(4, "little") for i in [*t.encode(x or "", add_special_tokens=False).ids, 1])
 
 
@@ -24,6 +24,12 @@ def test_units_equal_whole_texts(plain):
     assert UnitTokenizer(PATH).encode(texts) == [plain(t) for t in texts]
 
 
+def test_added_tokens_as_by_default(plain):
+    text = "a <|endoftext|> b"
+    assert plain(text) == UnitTokenizer(PATH).encode([text])[0]
+    assert (50256).to_bytes(4, "little") in plain(text)
+
+
 def test_assign_fills_every_room():
     rnd = random.Random(1)
     for _ in range(30):
