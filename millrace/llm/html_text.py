@@ -13,9 +13,8 @@ it they count against it), with a premium for article, main and the like; of equ
 innermost.  The region's lines are the result, short ones too, but for
 
 * boilerplate;
-* a doubtful element whose lines' mean smoothed ratio is under the threshold;
-* a header, unless it stands in an article, main or section of the region;
-* a block of links alone, all of whose lines are under the threshold.
+* a doubtful element, or a block of links, whose mean smoothed ratio is under the threshold;
+* a header, unless it stands in an article, main or section of the region.
 
 Scanning is map-only, a page at a time; pages are never cut.  Defined cases: null,
 empty and tagless html (its text is the result), unclosed and stray tags, unknown
@@ -236,14 +235,14 @@ def main_text(html: str | None, sigma: float = SIGMA, level: float = 1.0) -> str
     region = _region(p.where[seed], over)
     keep = weight > 0
     ratios, linked = _sums(s), _sums(np.array(p.linked, float))
-    letters, under = _sums(length), _sums(~content)
+    letters = _sums(length)
     for n in p.nodes:
         size = n.last - n.first
         if not n.weight or not size or n.first < region.first or n.last > region.last or n is region or n.tag not in BLOCKS:
             continue
         weak = ratios[n.last] - ratios[n.first] < limit * size
-        links = n.tag not in LEAVES and size > 1 and linked[n.last] - linked[n.first] >= LINKS * (letters[n.last] - letters[n.first]) and under[n.last] - under[n.first] == size
-        if links or (n.kind == _DOUBT and weak) or (n.kind == _HEAD and not _own_header(n, region)):
+        links = n.tag not in LEAVES and size > 1 and linked[n.last] - linked[n.first] >= LINKS * (letters[n.last] - letters[n.first])
+        if (weak and (links or n.kind == _DOUBT)) or (n.kind == _HEAD and not _own_header(n, region)):
             keep[n.first : n.last] = False
     return "\n\n".join(x for x, k in zip(p.lines[region.first : region.last], keep[region.first : region.last], strict=True) if k)
 

@@ -4,16 +4,19 @@
   are all those of labelled rows with letters, by a grouped count over the whole table.
   Counts come from a hash sample of each language's rows (all, if few; one at least),
   SAMPLE_ROWS by all languages together but LANGUAGE_ROWS by each, summed by language
-  and bin in Spark.  A long text speaks with the weight of MAX_GRAMS grams.
+  and bin in Spark; a row counts for TRAIN_GRAMS grams at most.  A long text speaks with the weight of MAX_GRAMS grams.
 * Declaration: the declared (markup) language is right with probability TRUST.
 * Host: what the *other* rows of the host are, by text, smoothed toward the address
   suffix, which is smoothed toward the whole corpus.  These sums are grouped
   aggregations over all rows; a row's own share is taken out of its host's.
-* Address suffix: through that hierarchy, and alone where a host has one row.
+* Address suffix: through that hierarchy, and alone where a host has one row.  Without a
+  column of its own it is a host's last label, if the host has a dot.
 
-The posterior over the languages seen in the labels is the normalised product.  A row is
-kept unless its posterior is under MIN_POSTERIOR or it has neither letters nor a known
-declaration.
+The posterior over the languages seen in the labels is the normalised product.  ``fit`` is
+the probability that the text is in its best language at all and not drawn evenly from all
+3-grams, with prior odds of BACKGROUND for the latter: texts in a language without labels,
+or of noise, fall to 0.  A row is kept unless its posterior is under MIN_POSTERIOR, its fit
+under MIN_FIT, or it has neither letters nor a known declaration.
 
 Scale: texts are read three times (the count, the sample's and the scoring scan); memory
 and work grow with the number of languages; what is scored is
@@ -39,6 +42,9 @@ from . import textkit as tk
 
 SAMPLE_ROWS, LANGUAGE_ROWS, BINS = 4000, 500, 1 << 14
 MAX_GRAMS, TRUST, MIN_POSTERIOR = 60.0, 0.9, 0.5
+BACKGROUND, MIN_FIT = 1e-3, 0.5
+#: Weight of a row in training, in grams.
+TRAIN_GRAMS = 2000
 #: Pseudo-counts of the prior above: corpus for a suffix, suffix for a host.
 SUFFIX_WEIGHT, HOST_WEIGHT = 10.0, 5.0
 
@@ -72,7 +78,8 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bins, rows = grams(data[off[a] : off[z]], off[a : z + 1] - off[a])
             codes = {x: i for i, x in enumerate(dict.fromkeys(langs[a:z]))}
             of = np.array([codes[x] for x in langs[a:z]])
-            m = np.bincount(of[rows] * BINS + bins, minlength=len(codes) * BINS).reshape(len(codes), BINS)
+            share = np.minimum(1.0, TRAIN_GRAMS / np.maximum(np.bincount(rows, minlength=z - a), 1))
+            m = np.bincount(of[rows] * BINS + bins, share[rows], minlength=len(codes) * BINS).reshape(len(codes), BINS)
             for x, i in codes.items():
                 sums[x] = sums.get(x, 0) + m[i]
     for x, v in sums.items():
@@ -95,7 +102,7 @@ def train(df: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows
     if any(every > 1 for _, every, _ in rates):
         by = df.sparkSession.createDataFrame(rates, "lang2 string, every long, rest long")
         part = src.join(by, F.col("lang") == F.col("lang2")).where(F.pmod("h", "every") == F.col("rest"))
-    counts = part.select("t", "lang").mapInArrow(_gram_counts, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    counts = part.select("t", "lang").mapInArrow(_gram_counts, "lang string, bin long, n double").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     m = np.full((len(langs), BINS), 0.5)
     places = {x: i for i, x in enumerate(langs)}
     for b in counts.to_batches():
@@ -117,10 +124,13 @@ def _score(logp: np.ndarray):
                 n[a:z] = np.bincount(rows, minlength=z - a)
                 for k in range(n_lang):
                     sums[a:z, k] = np.bincount(rows, table[bins, k], minlength=z - a)
-            sums *= np.minimum(1.0, MAX_GRAMS / np.maximum(n, 1))[:, None]
+            weight = np.minimum(1.0, MAX_GRAMS / np.maximum(n, 1))
+            sums *= weight[:, None]
+            over = sums.max(axis=1) + weight * n * np.log(BINS)
+            fit = 1 / (1 + BACKGROUND * np.exp(np.minimum(-over, 500.0)))
             sums -= sums.max(axis=1, keepdims=True)
             ll = pa.ListArray.from_arrays(np.arange(0, batch.num_rows * n_lang + 1, n_lang, dtype=np.int32), pa.array(sums.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n.astype(np.int64)), ll], names=[*batch.schema.names[1:], "grams", "ll"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n.astype(np.int64)), pa.array(fit), ll], names=[*batch.schema.names[1:], "grams", "fit", "ll"])
 
     return run
 
@@ -131,14 +141,16 @@ def _normal(arr: Column) -> Column:
 
 
 def identify(df: DataFrame, id_col: str, text_col: str, declared_col: str | None = None, host_col: str | None = None, suffix_col: str | None = None, label_col: str | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Per row: id, lang, posterior, text_lang, declared, n_grams, kept."""
+    """Per row: id, lang, posterior, text_lang, declared, n_grams, fit (1 without letters), kept."""
     langs, logp = train(df, id_col, text_col, label_col or declared_col, sample_rows)
     col = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
     if not langs:
         none = F.lit(None).cast("string")
-        return df.select(F.col(id_col).alias("id"), F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), none.alias("text_lang"), col(declared_col).alias("declared"), F.lit(0).cast("long").alias("n_grams"), F.lit(False).alias("kept"))
-    src = df.select(col(text_col).alias("text"), F.col(id_col).alias("id"), col(declared_col).alias("declared"), F.coalesce(col(host_col), F.lit("")).alias("host"), F.coalesce(col(suffix_col), F.lit("")).alias("suffix"))
-    schema = f"id {dict(df.dtypes)[id_col]}, declared string, host string, suffix string, grams long, ll array<double>"
+        return df.select(F.col(id_col).alias("id"), F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), none.alias("text_lang"), col(declared_col).alias("declared"), F.lit(0).cast("long").alias("n_grams"), F.lit(1.0).alias("fit"), F.lit(False).alias("kept"))
+    host = F.coalesce(col(host_col), F.lit(""))
+    suffix = F.coalesce(col(suffix_col), F.lit("")) if suffix_col else F.when(host.contains("."), F.element_at(F.split(host, r"\."), -1)).otherwise("")
+    src = df.select(col(text_col).alias("text"), F.col(id_col).alias("id"), col(declared_col).alias("declared"), host.alias("host"), suffix.alias("suffix"))
+    schema = f"id {dict(df.dtypes)[id_col]}, declared string, host string, suffix string, grams long, fit double, ll array<double>"
     scored = src.mapInArrow(_score(logp), schema)
     scored = scored.withColumn("p", _normal(F.transform("ll", lambda v: F.exp(v))))
     scored = sparkkit.cut(scored)
@@ -173,18 +185,21 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared_col: str | None
         F.when(F.col("grams") > 0, best(F.col("ll"))).alias("text_lang"),
         "declared",
         F.col("grams").alias("n_grams"),
+        F.when(F.col("grams") > 0, F.col("fit")).otherwise(1.0).alias("fit"),
     )
-    return out.withColumn("kept", F.coalesce(F.col("posterior") >= MIN_POSTERIOR, F.lit(False)))
+    return out.withColumn("kept", F.coalesce((F.col("posterior") >= MIN_POSTERIOR) & (F.col("fit") >= MIN_FIT), F.lit(False)))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
-    """The input's rows without those that identification rejects.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The input's rows without those that identification rejects, or finds in none of ``languages``.
 
-    An id's rows go only if each of them is rejected; a row without an id goes if its text has no letter.
+    An id's rows go only if each of them goes; a row without an id goes if its text has no letter.
     """
-    rejected = identify(docs, id_col, text_col, declared_col, host_col).groupBy("id").agg(F.bool_or("kept").alias("any")).where("id is not null and not any").select(F.col("id").alias("_gone"))
+    gone, got = sparkkit.fresh(docs, "gone"), identify(docs, id_col, text_col, declared_col, host_col)
+    wanted = F.col("kept") & F.col("lang").isin(*languages) if languages is not None else F.col("kept")
+    rejected = got.groupBy("id").agg(F.bool_or(wanted).alias("any")).where("id is not null and not any").select(F.col("id").alias(gone))
     letters = F.coalesce(F.col(text_col).cast("string").rlike("[^\\x00-@\\[-`{-\\x7F]"), F.lit(False))
-    return docs.where(F.col(id_col).isNotNull() | letters).join(rejected, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.where(F.col(id_col).isNotNull() | letters).join(rejected, F.col(id_col) == F.col(gone), "left_anti")
 
 
 def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -198,9 +213,9 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = identify(sparkkit.table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
-    return got.withColumnRenamed("id", "doc_id").withColumn("posterior", F.round("posterior", 6))
+    return got.withColumnRenamed("id", "doc_id").withColumn("posterior", F.round("posterior", 6)).withColumn("fit", F.round("fit", 6))
 
 
 def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = identify(page_evidence(sparkkit.table(spark, sf_dir, "pages")), "page_id", "text", "declared", "host", "suffix")
-    return got.withColumnRenamed("id", "page_id").withColumn("posterior", F.round("posterior", 6))
+    return got.withColumnRenamed("id", "page_id").withColumn("posterior", F.round("posterior", 6)).withColumn("fit", F.round("fit", 6))

@@ -1,12 +1,18 @@
 """URL filtering: host and path rules, and gradient-boosted trees on lexical features.
 
 Rules (a host with a path prefix, allow or block) decide the URLs they fit, the longest
-rule first.  All other URLs are judged by gradient-boosted trees with logistic loss,
-trained on labelled URLs (by default those that the rules decide).  Features of a URL:
-lengths, depth, labels of the host, digit ratio, entropy, hyphens, parameters and their
-length, scheme, fragment, extension; and statistics of its address suffix and domain
-that grouped aggregations count over *all* URLs: how many there are, and the smoothed
-share of blocked among the labelled ones.
+rule first.  All other URLs are judged by gradient-boosted trees with logistic loss and
+balanced classes, trained on labelled URLs; a URL is blocked if its balanced probability
+exceeds BLOCK_AT.  Features of a URL: lengths, depth, labels of the host, digit ratio,
+entropy, hyphens, parameters and their length, scheme, fragment, extension; and
+statistics that grouped aggregations count over *all* URLs: how far its length, depth,
+digit ratio and parameters lie from the mean of its address suffix, in standard
+deviations; how many URLs its suffix and domain have; and their smoothed share of blocked
+among labelled URLs of other folds than its own, so no URL's label is its own feature.
+
+Without a label column the labels are the verdicts of the rules.  A rule fixes a host's
+whole suffix, so counts and shares by suffix would only repeat the rule on URLs it does
+not fit: they are left out (0) then, and the lexical features and distances decide.
 
 The trees are fitted on a hash sample of about SAMPLE_ROWS labelled rows (the bound is
 a parameter; the sample's features are all that reaches the driver).  The model holds
@@ -35,10 +41,10 @@ from . import sparkkit
 #: Rules of the registered query: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SAMPLE_ROWS, TREES, DEPTH, RATE, SPLITS, LEAST_ROWS, L2 = 8000, 40, 3, 0.2, 32, 20, 1.0
-#: Pseudo-count of the overall share in the smoothed shares.
-SMOOTH = 20.0
-FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digits", "entropy", "hyphens", "params", "query_length", "https", "fragment", "extension", "www", "suffix_n", "suffix_rate", "domain_n", "domain_rate")
-N_STATS = 4
+#: Pseudo-count of the overall share in the smoothed shares, folds of these, least probability of a block.
+SMOOTH, FOLDS, BLOCK_AT = 20.0, 5, 0.7
+FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digits", "entropy", "hyphens", "params", "query_length", "https", "fragment", "extension", "www", "length_off", "depth_off", "digits_off", "params_off", "suffix_n", "suffix_rate", "domain_n", "domain_rate")
+STATS = FEATURES[-8:]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -93,11 +99,23 @@ class Trees:
         return out
 
 
+def _limits(v: np.ndarray) -> np.ndarray:
+    """Limits of splits: midway between a quantile and the next larger value."""
+    if not len(v):
+        return np.zeros(0)
+    known = np.unique(v)
+    at = np.unique(np.searchsorted(known, np.quantile(v, np.linspace(0, 1, SPLITS + 1)[1:-1]), side="right"))
+    at = at[at < len(known)]
+    return (known[at - 1] + known[at]) / 2
+
+
 def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE) -> Trees:
-    """Boosted regression trees on logistic loss, splits by the second-order gain over quantile bins."""
+    """Boosted regression trees on logistic loss, both classes of equal weight, splits by the second-order gain over quantile bins."""
     p = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
+    if 0 < y.sum() < len(y):
+        weight, p = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())), 0.5
     base, inner, leaves = float(np.log(p / (1 - p))), 2**DEPTH - 1, 2**DEPTH
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, SPLITS + 1)[1:-1])) if len(x) else np.zeros(0) for j in range(x.shape[1])]
+    edges = [_limits(x[:, j]) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1) if len(x) else np.zeros((0, x.shape[1]), np.int64)
     score, out = np.full(len(x), base), Trees(base, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)))
     if not len(x) or y.min() == y.max():
@@ -105,7 +123,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RA
     feats, limits, values = [], [], []
     for _ in range(trees):
         prob = 1 / (1 + np.exp(-score))
-        g, h = y - prob, prob * (1 - prob)
+        g, h = weight * (y - prob), weight * prob * (1 - prob)
         feature, limit, node = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(len(x), np.int64)
         for k in range(inner):
             rows = np.flatnonzero(node == k)
@@ -136,22 +154,45 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RA
 
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
     lex = [lexical(u, h, p) for u, h, p in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True)]
-    stats = [np.asarray(b.column(i), dtype=float) for i in range(3, 3 + N_STATS)]
-    return np.hstack([np.array(lex, float).reshape(len(lex), len(FEATURES) - N_STATS), np.stack(stats, axis=1)])
+    stats = [np.asarray(b.column(i), dtype=float) for i in range(3, 3 + len(STATS))]
+    return np.hstack([np.array(lex, float).reshape(len(lex), len(FEATURES) - len(STATS)), np.stack(stats, axis=1)])
 
 
-def with_statistics(df: DataFrame) -> DataFrame:
-    """Adds suffix and domain counts and smoothed blocked shares; needs columns host and label (1, 0 or null)."""
+def with_statistics(df: DataFrame, by_label: bool = True) -> DataFrame:
+    """Adds the columns STATS; needs columns id, url, host, path and label (1, 0 or null)."""
     labels = F.split("host", r"\.")
+    n = F.greatest(F.length("url"), F.lit(1))
+    plain = lambda parts: F.size(F.filter(parts, lambda x: x != ""))
+    sizes = {
+        "length": F.length("url").cast("double"),
+        "depth": plain(F.split("path", "/")).cast("double"),
+        "digits": F.length(F.regexp_replace("url", "[^0-9]", "")) / n,
+        "params": plain(F.split(F.regexp_extract("url", r"(?s)^[^?]*\?([^#]*)", 1), "&")).cast("double"),
+    }
     df = df.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)))
-    domains = df.groupBy("suffix", "domain").agg(F.count("*").alias("n"), F.count("label").alias("m"), F.sum(F.coalesce("label", F.lit(0.0))).alias("s"))
-    domains = sparkkit.cut(domains)
-    total = domains.agg(F.sum("m").alias("m"), F.sum("s").alias("s")).first()
-    share = (total["s"] or 0.0) / total["m"] if total["m"] else 0.0
-    rate = (F.col("s") + share * SMOOTH) / (F.col("m") + SMOOTH)
-    suffixes = domains.groupBy("suffix").agg(*[F.sum(c).alias(c) for c in ("n", "m", "s")]).select(F.col("suffix").alias("sx"), F.log1p("n").alias("suffix_n"), rate.alias("suffix_rate"))
-    stats = domains.join(suffixes, F.col("suffix") == F.col("sx")).select(F.col("domain").alias("dm"), F.col("suffix").alias("sx"), "suffix_n", "suffix_rate", F.log1p("n").alias("domain_n"), rate.alias("domain_rate"))
-    return df.join(sparkkit.cut(stats), (F.col("domain") == F.col("dm")) & (F.col("suffix") == F.col("sx")), "left").drop("dm", "sx")
+    df = df.withColumns({f"_{k}": F.coalesce(v, F.lit(0.0)) for k, v in sizes.items()}).withColumn("_fold", F.pmod(F.xxhash64("id", "url"), F.lit(FOLDS)))
+    in_fold = lambda i, c: F.sum(F.when(F.col("_fold") == i, c).otherwise(0.0))
+    counts = [F.count("*").alias("n"), F.array(*[in_fold(i, F.col("label").isNotNull().cast("double")) for i in range(FOLDS)]).alias("m"), F.array(*[in_fold(i, F.coalesce("label", F.lit(0.0))) for i in range(FOLDS)]).alias("s")]
+    moments = [f(F.col(f"_{k}") ** e).alias(f"{k}{e}") for k in sizes for e, f in ((1, F.sum), (2, F.sum))]
+    domains = sparkkit.cut(df.groupBy("suffix", "domain").agg(*counts, *moments))
+    each = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(FOLDS)]).alias(c)
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), each("m"), each("s"), *[F.sum(f"{k}{e}").alias(f"{k}{e}") for k in sizes for e in (1, 2)])
+    total = suffixes.agg(each("m"), each("s")).first()
+    m, s = sum(x or 0.0 for x in total["m"]), sum(x or 0.0 for x in total["s"])
+    share = s / m if m else 0.0
+    added = lambda c: F.aggregate(c, F.lit(0.0), lambda t, v: t + v)
+    rates = F.transform(F.sequence(F.lit(0), F.lit(FOLDS)), lambda i: (added(F.col("s")) - F.coalesce(F.get("s", i), F.lit(0.0)) + share * SMOOTH) / (added(F.col("m")) - F.coalesce(F.get("m", i), F.lit(0.0)) + SMOOTH))
+    mean = {k: F.col(f"{k}1") / F.col("n") for k in sizes}
+    spread = {k: F.sqrt(F.greatest(F.col(f"{k}2") / F.col("n") - mean[k] * mean[k], F.lit(0.0))) for k in sizes}
+    suffixes = suffixes.select(F.col("suffix").alias("sx"), F.log1p("n").alias("suffix_n"), rates.alias("suffix_rates"), *[v.alias(f"{k}_mean") for k, v in mean.items()], *[v.alias(f"{k}_spread") for k, v in spread.items()])
+    stats = domains.select("suffix", F.col("domain").alias("dm"), F.log1p("n").alias("domain_n"), rates.alias("domain_rates")).join(suffixes, F.col("suffix") == F.col("sx")).drop("suffix")
+    df = df.join(sparkkit.cut(stats), (F.col("domain") == F.col("dm")) & (F.col("suffix") == F.col("sx")), "left")
+    # an unlabelled URL takes the share of all folds, which stands last
+    at = F.when(F.col("label").isNotNull(), F.col("_fold")).otherwise(FOLDS).cast("int")
+    for k in sizes:
+        df = df.withColumn(f"{k}_off", F.when(F.col(f"{k}_spread") > 1e-9, (F.col(f"_{k}") - F.col(f"{k}_mean")) / F.col(f"{k}_spread")).otherwise(0.0))
+    df = df.withColumn("suffix_rate", F.get("suffix_rates", at)).withColumn("domain_rate", F.get("domain_rates", at))
+    return df if by_label else df.withColumns({c: F.lit(0.0) for c in STATS[-4:]})
 
 
 def judge(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, label_col: str | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -162,13 +203,16 @@ def judge(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", rules:
     df = df.withColumn("rule", name).withColumn("by_rule", verdict)
     if not label_col:
         df = df.withColumn("label", F.when(F.col("by_rule") == "block", 1.0).when(F.col("by_rule") == "allow", 0.0))
-    cols = ["url", "host", "path", "suffix_n", "suffix_rate", "domain_n", "domain_rate"]
-    full = with_statistics(df)
+    cols = ["url", "host", "path", *STATS]
+    full = with_statistics(df, by_label=label_col is not None)
     labelled = full.where("label is not null")
     n = df.where("label is not null").count()
     every = max(1, n // sample_rows)
     part = labelled if every == 1 else labelled.where(F.pmod(F.xxhash64("id", "url"), F.lit(every)) == 0)
-    got = part.select(*cols, "label").limit(2 * sample_rows).toArrow().combine_chunks().to_batches()
+    take = lambda rows: rows.select(*cols, "label").limit(2 * sample_rows).toArrow().combine_chunks().to_batches()
+    got = take(part)
+    if n and not any(b.num_rows for b in got):  # all labelled rows have one hash
+        got = take(labelled)
     x = np.concatenate([_matrix(b) for b in got]) if got else np.zeros((0, len(FEATURES)))
     y = np.concatenate([np.asarray(b.column(len(cols)), dtype=float) for b in got]) if got else np.zeros(0)
     model = fit_trees(x, y)
@@ -180,7 +224,7 @@ def judge(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", rules:
 
     kind = dict(df.dtypes)["id"]
     out = full.select(*cols, "id", "rule", "by_rule").mapInArrow(score, f"id {kind}, rule string, by_rule string, host string, path string, score double")
-    return out.select("id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
+    return out.select("id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") > math.log(BLOCK_AT / (1 - BLOCK_AT)), "block").otherwise("allow")).alias("verdict"), "score")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

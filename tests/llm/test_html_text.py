@@ -80,6 +80,6 @@ def test_single_words_of_names_do_not_decide():
     assert H.main_text(f"<body><header>Site</header><article><header><h1>Title</h1></header>{body}</article>") == "Title\n\n" + want
     legal = "These terms are a part of what is told here about the law, and are long."
     assert H.main_text(f'<article>{body}<div class="legal"><p>{legal}</p></div></article>') == want + "\n\n" + legal
-    for junk in ('<div class="ad-slot">Buy</div>', '<div id="cookieNotice"><p>We use cookies</p></div>', '<ul class="site-menu"><li><a>x</a></ul>', "<ul><li><a>Home</a><li><a>News</a></ul>", '<div class="post-comments"><p>I do think that this is a long and winding comment of a reader.</p></div>', '<p>a <span class="ad">b</span></p>'):
+    for junk in ('<div class="ad-slot">Buy</div>', '<div id="cookieNotice"><p>We use cookies</p></div>', '<ul class="site-menu"><li><a>x</a></ul>', "<ul>" + "<li><a>Home</a><li><a>News</a>" * 4 + "</ul>", '<div class="post-comments"><p>I do think that this is a long and winding comment of a reader.</p></div>', '<p>a <span class="ad">b</span></p>'):
         got = H.main_text(f"<body><article>{body}{junk}</article>")
         assert got == want + ("\n\na" if "span" in junk else "")

@@ -94,3 +94,29 @@ def test_rare_and_many_languages_on_a_large_table(spark):
     assert langs == sorted(roots) and logp.shape == (70, L.BINS)
     got = {r["id"]: r["lang"] for r in L.identify(df.where("declared <> 'l00' or id < 40"), "id", "text", "declared", "host", "suffix", sample_rows=40).collect()}
     assert all(got[i] == x for i, _, x, *_ in rows if i in got and i is not None)
+
+
+def test_wrong_declarations_and_strange_texts(spark):
+    """Declarations that the text contradicts are overruled; other scripts, noise and unwanted languages go."""
+    rnd = random.Random(7)
+    truth = {r["doc_id"]: (r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    other = {"en": "fr", "fr": "de", "de": "es", "es": "en"}
+    wrong = {i for i, (t, _) in truth.items() if i % 10 == 0 and len(t or "") > 300}
+    rows = [(i, t, other[lang] if i in wrong else lang, f"h{i % 7}", "x") for i, (t, lang) in truth.items()]
+    noise = lambda signs, n: "".join(rnd.choice(signs) for _ in range(n))
+    strange = [(-1, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 " * 8, "en", "h1", "x"), (-2, noise("bcdfghjklmnpqrstvwxz", 300), "fr", "h1", "x"), (-3, "qx" * 200_000, None, "h2", "x")]
+    df = spark.createDataFrame(rows + strange, SCHEMA).withColumnRenamed("suffix", "gone").repartition(3)
+    got = {r["id"]: r for r in L.identify(df, "id", "text", "declared", "host").collect()}
+    assert len(wrong) > 40 and np.mean([got[i]["lang"] == truth[i][1] for i in wrong]) > 0.95
+    assert not any(got[i]["kept"] for i, *_ in strange)
+    assert np.mean([got[i]["kept"] for i in truth]) > 0.995
+    left = L.keep_identified(df, "id", "text", "declared", "host", languages=("en", "de"))
+    assert left.columns == df.columns
+    assert {r["id"] for r in left.collect()} == {i for i, r in got.items() if r["kept"] and r["lang"] in ("en", "de")}
+
+
+def test_suffix_of_dotted_hosts(spark):
+    rows = [(i, "der und nicht", "de", f"h{i}.x.at", "") for i in range(40)] + [(100 + i, "the of and", "en", f"h{i}.x.uk", "") for i in range(40)]
+    rows += [(900, "12", None, "new.at", ""), (901, "zqz", None, "new.at", "")]
+    got = {r["id"]: r for r in L.identify(spark.createDataFrame(rows, SCHEMA), "id", "text", "declared", "host").collect()}
+    assert got[900]["lang"] == "und" and got[901]["lang"] == "de"

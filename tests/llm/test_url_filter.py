@@ -68,3 +68,33 @@ def test_one_class_and_empty(spark):
     assert {r["verdict"] for r in U.judge(df, rules=(), label_col="bad").collect()} == {"block"}
     assert {r["verdict"] for r in U.judge(df.withColumn("bad", F.lit(None).cast("int")), rules=(), label_col="bad").collect()} == {"allow"}
     assert U.judge(df.limit(0)).collect() == []
+
+
+def test_rule_labels_do_not_leak_by_suffix(spark):
+    """Where only rules label, verdicts beyond them do not repeat the address suffix; planted lexical signs are found."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(1200):
+        tld = rnd.choice(["net", "com", "org"])
+        bad = tld == "net" or (tld == "com" and i % 3 == 0)
+        lang = "de" if tld == "com" and bad else rnd.choice(["en", "fr"])
+        tail = "".join(rnd.choice("0123456789") for _ in range(24)) + "?a=1&b=2&c=3" if bad else "plain-words"
+        rows.append((i, f"http://w{rnd.randrange(9)}.{'example.com' if tld == 'com' else 'site.' + tld}/{lang}/{tail}"))
+    rows += [(2000 + i, f"http://w.other.{t}/xx/{'1234567890' * 2 + '1234?a=1&b=2&c=3' if b else 'plain-words'}") for i, (t, b) in enumerate([(t, b) for t in ("com", "info", "dev") for b in (0, 1)] * 3)]
+    got = {r["id"]: r for r in U.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    free = [(i, u) for i, u in rows if got[i]["rule"] is None]
+    right = [(got[i]["verdict"] == "block") == ("?a=1" in u) for i, u in free]
+    assert len(free) > 100 and np.mean(right) > 0.95
+
+
+def test_shares_come_from_other_folds(spark):
+    df = spark.createDataFrame([(i, f"http://h{i}.one{i}/p", 1.0) for i in range(40)] + [(99, "http://z.one0/p", None)], "id long, url string, label double")
+    host, path = U.split_url(F.col("url"))
+    got = {r["id"]: r for r in U.with_statistics(df.withColumn("host", host).withColumn("path", path).withColumn("label", F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("label")))).collect()}
+    assert all(abs(got[i]["domain_rate"] - 0.5) < 0.03 for i in range(40))
+    assert got[99]["suffix_rate"] < 0.49
+
+
+def test_equal_labelled_rows_and_odd_columns(spark):
+    df = spark.createDataFrame([(7, "http://a.net/" + "x" * 50000, "n", "s", 1.0)] * 50 + [(8, None, "n", "s", None)], "page_id long, url string, n string, suffix string, score double")
+    assert {(r["id"], r["rule"], r["verdict"]) for r in U.judge(df, sample_rows=3).collect()} == {(7, "net/", "block"), (8, None, "block")}
