@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontaminate, langid, near_dup, packing, secrets, sparkkit
 
+#: Languages that the sequences may hold.
+LANGUAGES = ("de", "en", "es", "fr")
 #: Least similarity of near copies, in percent.
 SIMILARITY = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognised language; those without any evidence of one go."""
-    return langid.keep_identified(docs)
+    """Documents in one of LANGUAGES; those in others, in no recognised one, or without evidence go."""
+    return langid.keep_identified(docs, languages=LANGUAGES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
