@@ -337,35 +337,34 @@ def links_in_blocks(members: DataFrame, payload: str, block) -> DataFrame:
     return rows.mapInArrow(_in_blocks(block), "a long, b long").distinct()
 
 
-def _settle(groups: DataFrame, members, payload: str, checks) -> DataFrame:
-    """Components of the links within groups (key, nb, hub), as (id, component).
+def _settle(members: DataFrame, large: DataFrame, attach, payload: str, checks) -> DataFrame:
+    """Components of the links within groups, as (id, component).
 
-    ``members`` gives the rows (key, nb, hub, id, payload) of such groups; a row's group is known.
+    ``members`` are rows (key, nb, hub, id), ``large`` those of groups of several blocks,
+    and ``attach`` adds the payload to such rows by their id.
     """
     block, visit = checks
-    comp = sparkkit.components(links_in_blocks(members(groups), payload, block))
-    large = groups.where("nb > 1")
+    comp, _ = sparkkit.written(sparkkit.components(links_in_blocks(attach(members), payload, block)))
     if large.isEmpty():
         return comp
-    comp = sparkkit.cut(comp)
     labels = comp.select(F.col("id").alias("v"), "component")
-    rows = members(large).join(labels, F.col("id") == F.col("v"), "left").withColumn("label", F.coalesce("component", "id")).drop("v", "component")
-    hubs = large.join(labels, F.col("hub") == F.col("v"), "left").select(F.col("key").alias("k"), F.coalesce("component", "hub").alias("top"))
-    left = rows.select("key", "nb", "label", "id").join(hubs, F.col("key") == F.col("k")).where("label <> top").select("key", "nb", "label", "id").distinct()
-    left = sparkkit.cut(left)
+    rows = large.join(labels, F.col("id") == F.col("v"), "left").select("key", "nb", "hub", "id", F.coalesce("component", "id").alias("label"))
+    rows, _ = sparkkit.written(rows)
+    tops = rows.where("id = hub").groupBy(F.col("key").alias("k")).agg(F.min("label").alias("top"))
+    away = F.col("label") != F.col("top")
+    left = rows.join(tops, F.col("key") == F.col("k")).withColumn("away", away)
+    size = left.where("away").groupBy(F.col("key").alias("k2")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nu"))
+    left, _ = sparkkit.written(left.join(size, F.col("key") == F.col("k2")).select("key", "nb", "nu", "id", "label", "away"))
     if left.isEmpty():
         return comp
-    size = left.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nu"))
-    rows = rows.join(size, F.col("key") == F.col("k")).drop("k")
     of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = rows.select("key", of("nb").alias("blk"), every("nu").alias("guests"), F.lit(0).alias("guest"), "label", "id", payload)
-    away = left.select(F.col("key").alias("k"), F.col("id").alias("v"))
-    guests = rows.join(away, (F.col("key") == F.col("k")) & (F.col("id") == F.col("v")), "left_semi")
-    guests = guests.select("key", every("nb").alias("blk"), of("nu").alias("guests"), F.lit(1).alias("guest"), "label", "id", payload)
+    to = lambda blk, guests, guest: F.struct(blk.alias("blk"), guests.alias("guests"), F.lit(guest).alias("guest"))
+    at_home = F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda i: to(of("nb"), i, 0))
+    on_visit = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: to(i, of("nu"), 1))
+    dealt = attach(left).withColumn("at", F.explode(F.when(F.col("away"), F.concat(at_home, on_visit)).otherwise(at_home)))
+    dealt = dealt.select("key", "at.blk", "at.guests", "at.guest", "label", "id", payload)
     parts = sparkkit.partitions(left.sparkSession)
-    dealt = own.unionByName(guests).repartition(parts, "key", "blk", "guests").sortWithinPartitions("key", "blk", "guests")
-    more = dealt.mapInArrow(_in_visits(visit), "a long, b long")
+    more = dealt.repartition(parts, "key", "blk", "guests").sortWithinPartitions("key", "blk", "guests").mapInArrow(_in_visits(visit), "a long, b long")
     return sparkkit.components(more.unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
 
@@ -384,20 +383,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     band = sigs.select("id", F.posexplode("bands").alias("band", "k")).select("id", F.xxhash64("band", "k").alias("k1"))
     buckets = band.groupBy(F.col("k1").alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
-    buckets = sparkkit.cut(buckets.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), "hub"))
-    families = _settle(buckets, lambda g: band.join(g, F.col("k1") == F.col("key")).join(sigs.select("id", "sketch"), "id"), "sketch", _sketched(most))
+    buckets, _ = sparkkit.written(buckets.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), "hub"))
+    large, _ = sparkkit.written(buckets.where("nb > 1"))
+    within = lambda g: band.join(g, F.col("k1") == F.col("key")).select("key", "nb", "hub", "id")
+    families = _settle(within(buckets), within(large), lambda rows: rows.join(sigs.select("id", "sketch"), "id"), "sketch", _sketched(most))
 
-    families = sparkkit.cut(families)
+    families, _ = sparkkit.written(families)
     lengths = named.where("rep is not null").groupBy(F.col("rep").alias("r")).agg(F.max("n").alias("n"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = families.join(lengths, F.col("id") == F.col("r")).groupBy(F.col("component").alias("key")).agg(blocks.alias("nb"), F.min("component").alias("hub"))
-    sizes = sparkkit.cut(sizes)
-
-    def texts(groups: DataFrame) -> DataFrame:
-        fam = families.join(groups, F.col("component") == F.col("key")).drop("component")
-        return src.join(fam, src.doc_id == fam.id).select("text", "key", "nb", "hub", "id").mapInArrow(_set_rows, "key long, nb int, hub long, id long, set binary").where("length(set) > 0")
-
-    comp = _settle(sizes, texts, "set", _confirmed(percent, most))
+    sizes = families.join(lengths, F.col("id") == F.col("r")).groupBy(F.col("component").alias("key")).agg(blocks.alias("nb"))
+    kin = families.join(sizes, F.col("component") == F.col("key")).select("key", "nb", F.col("key").alias("hub"), "id")
+    # a table with its real size: where it is small, texts are not shuffled to meet it
+    kin, _ = sparkkit.written(kin)
+
+    def sets(rows: DataFrame) -> DataFrame:
+        names = rows.columns
+        types = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+        met = src.join(rows.withColumnRenamed("id", "v"), F.col("doc_id") == F.col("v")).select("text", *[F.col("v").alias("id") if c == "id" else F.col(c) for c in names])
+        return met.mapInArrow(_set_rows, f"{types}, set binary").where("length(set) > 0")
+
+    comp = _settle(kin, kin.where("nb > 1"), sets, "set", _confirmed(percent, most))
 
     rows = named.join(comp, named.rep == comp.id, "left").select("n", F.explode("ids").alias("doc_id"), F.coalesce("component", "rep").alias("c"))
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
