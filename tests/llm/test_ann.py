@@ -72,3 +72,25 @@ def test_cells_come_in_order():
     total = (d1[:, None] + d2).ravel()
     assert sorted(cells) == np.flatnonzero(counts.ravel()).tolist()
     assert all(total[a] <= total[b] + 1e-12 for a, b in zip(cells, cells[1:], strict=False))
+
+
+def test_cells_are_dealt_evenly_and_hot_ones_split(spark):
+    counts = np.array([[3, 0, 4], [50, 2, 2], [1, 1, 25]])
+    first, ways = ann.deal_cells(counts, 10)
+    held = {}
+    for c, n in enumerate(counts.ravel()):
+        assert ways[c] == max(1, -(-n // 10))
+        for g in range(first[c], first[c] + ways[c]):
+            held[g] = held.get(g, 0) + n / ways[c]
+    assert max(held.values()) <= 10 and sorted(held) == list(range(max(held) + 1))
+
+
+def test_hot_cell_over_many_groups(spark, monkeypatch):
+    """A third of all vectors lie in one cell; it is split, and results equal brute force as all cells are visited."""
+    monkeypatch.setattr(ann, "GROUP_VECTORS", 25)
+    rnd = np.random.default_rng(8)
+    x = np.r_[rnd.normal(size=(300, 6)), rnd.normal(size=(150, 6)) * 1e-3 + 5]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, share=1.0)
+    want = brute(rows, lambda q: q % 50 == 0, 10)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == sorted((q, n + 1, i) for q, b in want.items() for n, (_, i) in enumerate(b))
