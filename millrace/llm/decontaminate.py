@@ -14,13 +14,15 @@ the passage shares with the item must cover enough of the question and of the an
 
 Passages are windows of twice the longest item, half overlapping, so each stretch of
 text as long as an item lies wholly in one.  There is no shuffle: a document's passages
-stay in its task.  Items are indexed in shards of at most SHARD_BYTES of text, each
-broadcast with the tasks, with document frequencies over all items.
+stay in its task.  Items are indexed in shards of at most SHARD_BYTES of text, with
+document frequencies over all items.  Shards are built and searched one after another,
+each result written before the next, so the driver and the tasks hold one at a time.
 
 Words are lowered (A-Z) runs of ASCII letters and digits or any non-ASCII signs.
 An item without a question and an answer column is split before its last sentence;
 an item of one sentence is its own answer.  Null or empty texts and items match
-nothing; rows that share a doc_id are judged one by one; extra columns are ignored.
+nothing; an item without an id counts like others and is reported with a null item_id; rows
+that share a doc_id are judged one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, NGRAM = 0.6, 0.6, 5
 BLOCK, MIN_PASSAGE = 16, 96
 SHARD_BYTES = 16 << 20
+#: Stands for a null item id in an index.
+NO_ID = -(1 << 63)
 _ROWS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word_start long, word_end long"
 
 
@@ -238,23 +242,21 @@ def _search_batch(ix: Index, texts: pa.Array, threshold: float, overlap: float)
             yield (a + r, *rest)
 
 
-def item_shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", question_col: str | None = None, answer_col: str | None = None) -> list[Index]:
-    """Indexes of all items, each over at most about SHARD_BYTES of text."""
+def item_shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", question_col: str | None = None, answer_col: str | None = None) -> Iterator[tuple[Index, bool]]:
+    """Indexes of all items, each over at most about SHARD_BYTES of text, and whether others follow or came before."""
     if question_col and answer_col:
         src = items.select(F.col(id_col).cast("long").alias("id"), F.coalesce(question_col, F.lit("")).alias("q"), F.coalesce(answer_col, F.lit("")).alias("a"), F.concat_ws(" ", question_col, answer_col).alias("t"))
     else:
         src = items.select(F.col(id_col).cast("long").alias("id"), F.lit(None).cast("string").alias("q"), F.lit(None).cast("string").alias("a"), F.col(text_col).alias("t"))
-    src = src.where("id is not null")
+    src = src.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
     words = F.size(F.filter(F.split(F.col("t"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
     stat = src.agg(F.sum(F.octet_length("t")).alias("bytes"), F.count_if(words > 0).alias("n"), F.max(words).alias("longest"), F.avg(F.when(words > 0, words)).alias("mean")).first()
     shards = max(1, math.ceil((stat["bytes"] or 0) / SHARD_BYTES))
-    out = []
     for k in range(shards):
         part = src if shards == 1 else src.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == k)
         rows = [(r["id"], *((r["q"], r["a"]) if question_col and answer_col else split_item(r["t"]))) for r in part.collect()]
         df = None if shards == 1 else _frequencies(src, rows)
-        out.append(build_index(rows, int(stat["longest"] or 1), int(stat["n"] or 0), float(stat["mean"] or 1.0), df))
-    return out
+        yield build_index(rows, int(stat["longest"] or 1), int(stat["n"] or 0), float(stat["mean"] or 1.0), df), shards > 1
 
 
 def _frequencies(src: DataFrame, rows: list[tuple[int, str, str]]) -> dict[int, int]:
@@ -276,33 +278,35 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """One row per document row and verified item, with the best passage."""
     out = None
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for ix in item_shards(items, **item_cols):
+    for ix, several in item_shards(items, **item_cols):
 
         def run(batches: Iterator[pa.RecordBatch], ix: Index = ix) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(r, int(ix.item_ids[i]), s, q, a, x, y) for r, i, s, q, a, x, y in _search_batch(ix, batch.column(1), threshold, overlap)]
+                rows = [(r, None if ix.item_ids[i] == NO_ID else int(ix.item_ids[i]), s, q, a, x, y) for r, i, s, q, a, x, y in _search_batch(ix, batch.column(1), threshold, overlap)]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:5]], *[pa.array(c, pa.int64()) for c in cols[5:]]], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "word_start", "word_end"])
 
         part = src.mapInArrow(run, _ROWS)
+        part = sparkkit.cut(part) if several else part
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, **item_cols: str) -> DataFrame:
     """The input's rows in which no item is found, with all their columns."""
-    shards = item_shards(items, **item_cols)
     at = docs.columns.index(text_col)
+    for ix, several in item_shards(items, **item_cols):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for ix in shards:
+        def run(batches: Iterator[pa.RecordBatch], ix: Index = ix) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
                 for hit in _search_batch(ix, batch.column(at), threshold, overlap):
                     keep[hit[0]] = False
-            yield batch.filter(pa.array(keep))
+                yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
+        docs = sparkkit.cut(docs) if several else docs
+    return docs
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

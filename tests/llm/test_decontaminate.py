@@ -103,3 +103,13 @@ def test_wand_equals_full_scores():
         got = dict(D.wand(ix, terms, 0, 100, 0.5))
         assert sorted(got) == np.flatnonzero(full >= 0.5 - 1e-9).tolist()
         assert all(abs(full[k] - v) < 1e-9 for k, v in got.items())
+
+
+def test_items_without_an_id_count(spark, monkeypatch):
+    text = "Which of these rivers runs through the old capital of the north? The long grey river that rises in the hills."
+    items = spark.createDataFrame([(None, text), (4, "What is two plus two in the usual way of counting things? It is four, as all of us know.")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + text + " and more"), (2, "clean words")], "doc_id long, text string")
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(D, "SHARD_BYTES", size)
+        assert [(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, items).collect()] == [(1, None)]
+        assert [r["doc_id"] for r in D.drop_contaminated(docs, items).collect()] == [2]
