@@ -92,15 +92,17 @@ def as_of_join(main: DataFrame, ref: DataFrame, main_key: str, ref_key: str, mai
     """Each main row with its key's last reference row at or before its time.
 
     Union, then one sort per key that carries the last reference row along: no row is
-    multiplied, and hot keys spill rather than explode.
+    multiplied, and hot keys spill rather than explode.  Main rows without a key match
+    nothing and take no part in the sort.
     """
-    ref_cols = ref.columns
-    m = main.select(F.col(main_key).alias("_k"), F.col(main_time).alias("_t"), F.lit(1).alias("_side"), F.struct("*").alias("_m"))
+    ref_cols, kinds = ref.columns, dict(ref.dtypes)
+    m = main.where(F.col(main_key).isNotNull()).select(F.col(main_key).alias("_k"), F.col(main_time).alias("_t"), F.lit(1).alias("_side"), F.struct("*").alias("_m"))
     r = ref.where(F.col(ref_key).isNotNull()).select(F.col(ref_key).alias("_k"), F.col(ref_time).alias("_t"), F.lit(0).alias("_side"), F.struct("*").alias("_r"))
     w = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = m.unionByName(r, allowMissingColumns=True)
-    out = both.withColumn("_r", F.when(F.col("_k").isNotNull(), F.last("_r", ignorenulls=True).over(w))).where("_side = 1")
-    return out.select("_m.*", *[F.col(f"_r.{c}").alias(prefix + c) for c in ref_cols])
+    out = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    out = out.select("_m.*", *[F.col(f"_r.{c}").alias(prefix + c) for c in ref_cols])
+    return out.unionAll(main.where(F.col(main_key).isNull()).select("*", *[F.lit(None).cast(kinds[c]).alias(prefix + c) for c in ref_cols]))
 
 
 JoinPattern = Callable[[DataFrame, DataFrame], DataFrame]

@@ -12,6 +12,9 @@ from ..functions import maps
 from ..pipeline import BlockResult
 
 
+HOUR_MS = 3_600_000
+
+
 @dataclass(frozen=True)
 class FlowDisruptionDetector:
     """Per key, an alert when no row follows within the timeout; main rows are unchanged.
@@ -19,6 +22,10 @@ class FlowDisruptionDetector:
     Alerts: key, disrupted_at (last row plus timeout), recovered_at (the next row, or null
     while silent).  ``until`` bounds the wait for a key's last row in a bounded frame:
     without it, a last row raises no alert.
+
+    Where rows are ordered by the clock, a key's rows are sorted hour by hour (or by the
+    timeout, if longer) and only the hours' first and last rows meet, so a key with a large
+    share of all rows is no single task.
     """
 
     key: str
@@ -28,11 +35,18 @@ class FlowDisruptionDetector:
     until: Column | None = None
 
     def alerts(self, df: DataFrame) -> DataFrame:
-        w = Window.partitionBy(self.key).orderBy(*self.order)
-        rows = df.where(F.col(self.key).isNotNull()).select(self.key, F.col(self.clock).alias("_t"), F.lead(self.clock).over(w).alias("recovered_at"))
+        rows = df.where(F.col(self.key).isNotNull() & F.col(self.clock).isNotNull())
+        hour = F.lit(0)
+        if self.order and self.order[0] == self.clock:
+            hour = F.floor(F.unix_micros(F.col(self.clock).cast("timestamp")) / (1000 * max(self.timeout_ms, HOUR_MS)))
+        rows = rows.select(F.col(self.key).alias("key"), F.col(self.clock).alias("_t"), hour.alias("_hour"), F.struct(*self.order).alias("_o"))
+        within = rows.withColumn("recovered_at", F.lead("_t").over(Window.partitionBy("key", "_hour").orderBy("_o"))).where("recovered_at is not null")
+        ends = rows.groupBy("key", "_hour").agg(F.min_by("_t", "_o").alias("_first"), F.max_by("_t", "_o").alias("_t"))
+        ends = ends.withColumn("recovered_at", F.lead("_first").over(Window.partitionBy("key").orderBy("_hour")))
+        rows = within.select("key", "_t", "recovered_at").unionByName(ends.select("key", "_t", "recovered_at"))
         end = F.coalesce("recovered_at", self.until) if self.until is not None else F.col("recovered_at")
         rows = rows.where(F.unix_micros(end.cast("timestamp")) - F.unix_micros(F.col("_t").cast("timestamp")) > 1000 * self.timeout_ms)
-        return rows.select(F.col(self.key).alias("key"), (F.col("_t") + F.make_dt_interval(secs=F.lit(self.timeout_ms / 1000))).alias("disrupted_at"), "recovered_at")
+        return rows.select("key", (F.col("_t") + F.make_dt_interval(secs=F.lit(self.timeout_ms / 1000))).alias("disrupted_at"), "recovered_at")
 
     def apply(self, df: DataFrame) -> BlockResult:
         if df.isStreaming:

@@ -303,3 +303,24 @@ def test_parser_binds_each_text_once(spark):
     assert plan.lower().replace("_", "").count("parsejson") == 1
     assert sorted((r["operation"] or "") for r in got.main.collect()) == ["", "1"]
     assert got.dlq.count() == 3
+
+
+def test_silence_over_many_hours(spark):
+    """Gaps within and between the hours in which a key's rows are sorted, against a direct walk."""
+    import random
+
+    rnd = random.Random(9)
+    times = {k: sorted(rnd.randrange(30 * 3_600_000) for _ in range(n)) for k, n in (("hot", 400), ("cold", 5), ("one", 1))}
+    df = env(spark, [(t, k, "x", "p") for k, ts in times.items() for t in ts] + [(0, None, "x", "p")])
+    df = df.unionByName(df.where("primary_key = 'one'").withColumn("event_time", F.lit(None).cast("timestamp")))
+    for timeout in (60_000, 900_000, 7_200_000):
+        got = sorted((r["key"], r["disrupted_at"], r["recovered_at"]) for r in observe.FlowDisruptionDetector("primary_key", timeout).alerts(df).collect())
+        at = lambda ms: T0 + timedelta(milliseconds=ms)
+        assert got == sorted((k, at(a + timeout), at(b)) for k, ts in times.items() for a, b in zip(ts, ts[1:], strict=False) if b - a > timeout)
+
+
+def test_as_of_rows_without_a_key(spark):
+    main = env(spark, [(10, None, "m", "a"), (20, "k", "m", "b"), (5, "", "m", "c")])
+    ref = env(spark, [(0, "k", "r", "R"), (0, None, "r", "N")])
+    got = {r["payload_json"]: r["ref_payload_json"] for r in enrich.as_of_join(main, ref, "primary_key", "primary_key", "event_time", "event_time").collect()}
+    assert got == {"a": None, "b": "R", "c": None}
