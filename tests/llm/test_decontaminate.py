@@ -113,3 +113,13 @@ def test_items_without_an_id_count(spark, monkeypatch):
         monkeypatch.setattr(D, "SHARD_BYTES", size)
         assert [(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, items).collect()] == [(1, None)]
         assert [r["doc_id"] for r in D.drop_contaminated(docs, items).collect()] == [2]
+
+
+def test_very_long_text_and_ties(spark):
+    """An item deep inside a text of some 2 MB; equal rows and equal items are reported each."""
+    text = "Which of these rivers runs through the old capital of the north? The long grey river that rises in the hills."
+    long = "filler words of no item " * 90_000
+    items = spark.createDataFrame([(1, text), (2, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(7, long + text + " " + long), (7, text), (7, text), (8, long)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in D.contaminated(docs, items).collect())
+    assert got == [(7, 1)] * 3 + [(7, 2)] * 3

@@ -83,3 +83,12 @@ def test_single_words_of_names_do_not_decide():
     for junk in ('<div class="ad-slot">Buy</div>', '<div id="cookieNotice"><p>We use cookies</p></div>', '<ul class="site-menu"><li><a>x</a></ul>', "<ul>" + "<li><a>Home</a><li><a>News</a>" * 4 + "</ul>", '<div class="post-comments"><p>I do think that this is a long and winding comment of a reader.</p></div>', '<p>a <span class="ad">b</span></p>'):
         got = H.main_text(f"<body><article>{body}{junk}</article>")
         assert got == want + ("\n\na" if "span" in junk else "")
+
+
+def test_very_long_pages():
+    p = "<p>" + "A sentence of some words. " * 40 + "</p>"
+    page = "<body><nav>" + "<a>x</a>" * 5000 + "</nav><div>" + p * 2000 + "</div></body>"
+    got = H.main_text(page)
+    assert got.count("\n\n") == 1999 and got.count("A sentence") == 80_000
+    assert H.main_text("<p>" + "y" * 3_000_000) == "y" * 3_000_000
+    assert H.main_text("</b></i>" * 100_000 + "<p>z" + "<i>" * 20_000) == "z"

@@ -127,3 +127,9 @@ def test_versions_are_told_apart(spark):
     for r in L.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
         got[r["doc_id"]].add(r["license"])
     assert got == [set(), {"Apache-2.0"}, {"GPL-2.0-notice", "GPL-short"}, {"AGPL-3.0-notice", "AGPL-short"}, {"GPL-short", "GPL-2.0-short"}, set()]
+
+
+def test_very_long_text(spark):
+    long = "words that say the least of it and more " * 60_000
+    df = spark.createDataFrame([(1, long + L.TEMPLATES["MIT"] + " " + long), (2, long), (3, "word" * 500_000)], "doc_id long, text string")
+    assert [(r["doc_id"], r["license"], r["coverage"]) for r in L.find_licenses(df).collect()] == [(1, "MIT", 1.0)]

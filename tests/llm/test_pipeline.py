@@ -41,3 +41,9 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
 def test_run(spark):
     rows = P.run(spark, DIR).collect()
     assert rows and sum(r["length"] for r in rows) > 0
+
+
+def test_empty_table(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{DIR}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []
