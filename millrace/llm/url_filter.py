@@ -66,10 +66,12 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return name, verdict
 
 
-def lexical(url: str | None, host: str, path: str) -> list[float]:
+def lexical(url: str | None, host: str, path: str, with_domain: bool = True) -> list[float]:
+    """Features of a URL; without its domain (the host's last two labels) the letters of that do not count."""
     u = url or ""
-    n = max(len(u), 1)
-    counts = {c: u.count(c) for c in set(u)}
+    v = u if with_domain else u.replace(".".join(host.split(".")[-2:]), "", 1)
+    n = max(len(v), 1)
+    counts = {c: v.count(c) for c in set(v)}
     query = u.split("?", 1)[1].split("#", 1)[0] if "?" in u else ""
     last = path.rsplit("/", 1)[-1]
     return [
@@ -152,8 +154,8 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RA
     return Trees(base, np.array(feats), np.array(limits), np.array(values))
 
 
-def _matrix(b: pa.RecordBatch) -> np.ndarray:
-    lex = [lexical(u, h, p) for u, h, p in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True)]
+def _matrix(b: pa.RecordBatch, with_domain: bool = True) -> np.ndarray:
+    lex = [lexical(u, h, p, with_domain) for u, h, p in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True)]
     stats = [np.asarray(b.column(i), dtype=float) for i in range(3, 3 + len(STATS))]
     return np.hstack([np.array(lex, float).reshape(len(lex), len(FEATURES) - len(STATS)), np.stack(stats, axis=1)])
 
@@ -190,7 +192,7 @@ def with_statistics(df: DataFrame, by_label: bool = True) -> DataFrame:
     # an unlabelled URL takes the share of all folds, which stands last
     at = F.when(F.col("label").isNotNull(), F.col("_fold")).otherwise(FOLDS).cast("int")
     for k in sizes:
-        df = df.withColumn(f"{k}_off", F.when(F.col(f"{k}_spread") > 1e-9, (F.col(f"_{k}") - F.col(f"{k}_mean")) / F.col(f"{k}_spread")).otherwise(0.0))
+        df = df.withColumn(f"{k}_off", F.when(F.col(f"{k}_spread") > 1e-9, F.round((F.col(f"_{k}") - F.col(f"{k}_mean")) / F.col(f"{k}_spread"))).otherwise(0.0))
     df = df.withColumn("suffix_rate", F.get("suffix_rates", at)).withColumn("domain_rate", F.get("domain_rates", at))
     return df if by_label else df.withColumns({c: F.lit(0.0) for c in STATS[-4:]})
 
@@ -213,13 +215,14 @@ def judge(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", rules:
     got = take(part)
     if n and not any(b.num_rows for b in got):  # all labelled rows have one hash
         got = take(labelled)
-    x = np.concatenate([_matrix(b) for b in got]) if got else np.zeros((0, len(FEATURES)))
+    known = label_col is not None
+    x = np.concatenate([_matrix(b, known) for b in got]) if got else np.zeros((0, len(FEATURES)))
     y = np.concatenate([np.asarray(b.column(len(cols)), dtype=float) for b in got]) if got else np.zeros(0)
     model = fit_trees(x, y)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.score(_matrix(b)) if b.num_rows else np.zeros(0)
+            s = model.score(_matrix(b, known)) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns[len(cols) :], b.column(1), b.column(2), pa.array(s)], names=["id", "rule", "by_rule", "host", "path", "score"])
 
     kind = dict(df.dtypes)["id"]
