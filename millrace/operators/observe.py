@@ -70,7 +70,7 @@ class LatencyDetector:
         return ((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(self.time).cast("timestamp"))) / 1000).cast("long")
 
     def apply(self, df: DataFrame) -> BlockResult:
-        out, o = metrics.observed(df, self.scope, "latency", {metrics.key("latency", "alert"): self.latency_ms() > self.threshold_ms})
+        out, o = metrics.observed(df, self.scope, "latency", {metrics.key("latency", "alert"): self.latency_ms() > self.threshold_ms}, {"latency.max_ms": F.max(self.latency_ms())})
         return BlockResult(out, observations={f"{self.scope}.latency": o})
 
 
@@ -81,11 +81,13 @@ class MetadataDecorator:
     stage: str
     task_name: str | None = None
     processed_at: Column | None = None
+    counted: bool = False
 
     def apply(self, df: DataFrame) -> BlockResult:
         at = self.processed_at if self.processed_at is not None else F.current_timestamp()
         own = {"taskName": F.lit(self.task_name or self.stage), "subtaskIndex": F.spark_partition_id().cast("string"), "processedAt": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")}
-        return BlockResult(df.withColumn("metadata", maps.put("metadata", {f"stage.{self.stage}.{k}": v for k, v in own.items()})))
+        df, seen = metrics.counted(df, "decorator", {"event": F.lit(True)}, self.counted)
+        return BlockResult(df.withColumn("metadata", maps.put("metadata", {f"stage.{self.stage}.{k}": v for k, v in own.items()})), observations=seen)
 
 
 @dataclass(frozen=True)

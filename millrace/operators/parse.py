@@ -30,6 +30,7 @@ class EnvelopeParser:
     column: str = "value"
     keep_metadata: bool = False
     seq: Column | None = None
+    counted: bool = False
 
     def apply(self, df: DataFrame) -> BlockResult:
         raw = F.col(self.column)
@@ -52,6 +53,7 @@ class EnvelopeParser:
         got, = unused(df, "_got")
         rows = df.where(t.startswith("{") & t.endswith("}")).select("*", F.explode(parsed).alias(got))
         r = F.col(got)
+        rows, seen = metrics.counted(rows, "parser", {"success": ~r["bad"], "error": r["bad"]}, self.counted)
         values = {k: r[k] for k in JSON_NAMES}
         values |= {
             "event_time": F.coalesce(r["event_time"], now),
@@ -61,7 +63,7 @@ class EnvelopeParser:
         }
         good = rows.where(~r["bad"]).select(*[values[f.name].cast(f.dataType).alias(f.name) for f in model.ENVELOPE])
         dlq = model.dead_letters(rows.where(r["bad"]), model.PARSING_ERROR, F.lit("malformed envelope"), "EnvelopeParser", raw)
-        return BlockResult(good, dlq)
+        return BlockResult(good, dlq, observations=seen)
 
 
 def _merged(a: Column, b: Column) -> Column:
@@ -121,12 +123,14 @@ class Processor:
 
     name: str = "Processor"
     strict: bool = False
+    counted: bool = False
 
     def apply(self, df: DataFrame) -> BlockResult:
         none = F.col("operation").isNull() & F.col("payload_json").isNull() & F.col("source").isNull()
+        df, seen = metrics.counted(df, "processor", {"success": ~none, "error": none}, self.counted)
         main = with_trace_id(df.where(~none).withColumn("processed_time", F.current_timestamp()))
         dlq = model.dead_letters(df.where(none), model.PROCESSING_ERROR, F.lit("null input"), self.name, model.to_json(df)) if self.strict else None
-        return BlockResult(main, dlq)
+        return BlockResult(main, dlq, observations=seen)
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import model
+from .. import metrics, model
 from ..pipeline import BlockResult
 
 ORDER = ("event_time", "event_seq")
@@ -33,17 +33,22 @@ class Materializer:
     row_merge: Callable[[dict, dict], dict] | None = None
     clock: str = "event_time"
     order: tuple[str, ...] = ORDER
+    counted: bool = False
 
     def apply(self, df: DataFrame) -> BlockResult:
+        out, seen = metrics.counted(self._changes(df), "materializer", {k.lower(): F.col("change_type") == k for k in ("INSERT", "UPDATE", "DELETE")}, self.counted)
+        return BlockResult(out, observations=seen)
+
+    def _changes(self, df: DataFrame) -> DataFrame:
         if df.isStreaming:
             from ..streaming.processors import materialize_stream
 
             if self.merge and not self.row_merge:
                 raise ValueError("a stream needs row_merge beside merge")
-            return BlockResult(materialize_stream(df, F.col(self.key), self.delete, self.ttl_ms, self.row_merge))
+            return materialize_stream(df, F.col(self.key), self.delete, self.ttl_ms, self.row_merge)
         if self.row_merge and not self.merge:
             raise ValueError("a bounded table needs merge beside row_merge")
-        return BlockResult(self._merged(df) if self.merge else self._replaced(df))
+        return self._merged(df) if self.merge else self._replaced(df)
 
     def _rows(self, df: DataFrame) -> DataFrame:
         gone = F.coalesce(self.delete, F.lit(False)) if self.delete is not None else F.lit(False)
@@ -123,6 +128,7 @@ class SessionAnalyzer:
     result: Column | None = None
     out_of_order_ms: int = 0
     lateness_ms: int = 0
+    counted: bool = False
 
     def __post_init__(self):
         if not self.key or not self.time:
@@ -139,7 +145,9 @@ class SessionAnalyzer:
         s = df.groupBy(F.col(self.key).alias("key"), F.session_window(self.time, f"{self.gap_ms} milliseconds").alias("w"))
         out = s.agg(F.count("*").cast("int").alias("event_count"), (self.result if self.result is not None else F.lit(None).cast("string")).alias("result"))
         ms = ((F.unix_micros(F.col("w.end").cast("timestamp")) - F.unix_micros(F.col("w.start").cast("timestamp"))) / 1000).cast("long")
-        return BlockResult(out.select("key", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "event_count", (F.col("w.end") - F.col("w.start")).alias("duration"), ms.alias("duration_ms"), "result"))
+        out = out.select("key", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "event_count", (F.col("w.end") - F.col("w.start")).alias("duration"), ms.alias("duration_ms"), "result")
+        out, seen = metrics.counted(out, "session", {"closed": F.lit(True)}, self.counted)
+        return BlockResult(out, observations=seen)
 
 
 def actions_result(operation: str = "operation", time: str = "event_time", seq: str = "event_seq") -> Column:

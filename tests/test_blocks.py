@@ -324,3 +324,26 @@ def test_as_of_rows_without_a_key(spark):
     ref = env(spark, [(0, "k", "r", "R"), (0, None, "r", "N")])
     got = {r["payload_json"]: r["ref_payload_json"] for r in enrich.as_of_join(main, ref, "primary_key", "primary_key", "event_time", "event_time").collect()}
     assert got == {"a": None, "b": "R", "c": None}
+
+
+def test_counters_of_blocks(spark):
+    texts = spark.createDataFrame([('{"operation":"a"}',), ('{"source":[]}',), ("x",)], "value string")
+    p = parse.EnvelopeParser(counted=True).apply(texts)
+    assert p.main.count() == 1
+    assert p.observations["parser"].get == {"parser.success_count": 1, "parser.error_count": 1}
+    df = env(spark, [(0, "k", "x", "{}"), (1, "k", "x", "{}"), (2, "k", "DEL", "{}"), (3, None, None, None, None)])
+    m = stateful.Materializer(delete=F.col("operation") == "DEL", counted=True).apply(df)
+    m.main.collect()
+    assert m.observations["materializer"].get == {"materializer.insert_count": 1, "materializer.update_count": 1, "materializer.delete_count": 1}
+    s = stateful.SessionAnalyzer(counted=True).apply(df)
+    s.main.collect()
+    assert s.observations["session"].get == {"session.closed_count": 1}
+    r = parse.Processor(strict=True, counted=True).apply(df)
+    assert r.main.count() == 3
+    assert r.observations["processor"].get == {"processor.success_count": 3, "processor.error_count": 1}
+    d = observe.MetadataDecorator("s", counted=True).apply(df)
+    d.main.collect()
+    assert d.observations["decorator"].get == {"decorator.event_count": 4}
+    late = observe.LatencyDetector(0, now=F.lit(T0 + timedelta(milliseconds=7))).apply(df)
+    late.main.collect()
+    assert late.observations["latency.latency"].get["latency.max_ms"] == 7
