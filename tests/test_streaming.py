@@ -161,3 +161,20 @@ def test_failed_dead_letters_stop_nothing(rocks, tmp_path):
     assert sink.write(rocks.createDataFrame([], model.DLQ)) is False and sink.failed == 1
     with pytest.raises(ValueError, match="at-least-once"):
         BrokerSink("t", exactly_once=True).write(rocks.createDataFrame([], model.ENVELOPE), None)
+
+
+def test_change_log_by_files_and_bad_lines(rocks, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    say = lambda i: json.dumps({"op": "insert", "collection": "c", "documentKey": {"_id": i}, "fullDocument": {"_id": i}})
+    (log / "0.json").write_text("\n".join(map(say, range(5))) + "\n\n")
+    (log / "1.json").write_text("\n".join([say(5), "not json", '["x"]', say(6)]))
+    r = cdc.ChangeLogReader({"path": f"file://{log}", "splits": "2"})
+    assert r.latestOffset() == {"token": 9}
+    assert [p.pieces for p in r.partitions({"token": 3}, {"token": 6})] == [[(f"{log}/0.json", 3, 5), (f"{log}/1.json", 0, 1)]] * 2
+    with (log / "1.json").open("a") as f:
+        f.write("\n" + say(7) + "\n")
+    assert r.latestOffset() == {"token": 10}
+    parsed = parse.CdcParser().apply(cdc.multi_reader(rocks, str(log), 3))
+    assert sorted(int(x["primary_key"]) for x in drain(parsed.main, tmp_path, "files")) == list(range(8))
+    assert sorted(json.loads(x["raw_event"])["full_document"] for x in drain(parsed.dlq, tmp_path, "bad")) == ['["x"]', "not json"]
