@@ -20,7 +20,8 @@ under MIN_FIT, or it has neither letters nor a known declaration.
 
 Scale: texts are read three times (the count, the sample's and the scoring scan); memory
 and work grow with the number of languages; what is scored is
-checkpointed without texts.  Host sums are pre-aggregated before the shuffle and joined
+checkpointed without texts.  Texts are shuffled only where the list of languages, or of
+rejected ids, is too large to be broadcast.  Host sums are pre-aggregated before the shuffle and joined
 as a table of its own, so adaptive execution broadcasts it if small or splits hot hosts.
 
 Defined cases: null or empty texts, and texts without letters, give no text evidence; a
@@ -43,6 +44,8 @@ from . import textkit as tk
 SAMPLE_ROWS, LANGUAGE_ROWS, BINS = 4000, 500, 1 << 14
 MAX_GRAMS, TRUST, MIN_POSTERIOR = 60.0, 0.9, 0.5
 BACKGROUND, MIN_FIT = 1e-3, 0.5
+#: Bytes of text that are scored at a time: a gram takes some 50 bytes meanwhile.
+SLICE_BYTES = 1 << 18
 #: Weight of a row in training, in grams.
 TRAIN_GRAMS = 2000
 #: Pseudo-counts of the prior above: corpus for a suffix, suffix for a host.
@@ -100,7 +103,9 @@ def train(df: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows
     rates = [(r["lang"], every, r["h"] % every) for r in all_rows for every in [max(1, r["n"] // quota)]]
     part = src
     if any(every > 1 for _, every, _ in rates):
-        by = df.sparkSession.createDataFrame(rates, "lang2 string, every long, rest long")
+        # from Arrow, as only such a local table has a size of its own: it is broadcast while it is small
+        cols = [pa.array(c, t) for c, t in zip(zip(*rates, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)]
+        by = df.sparkSession.createDataFrame(pa.table(cols, names=["lang2", "every", "rest"]))
         part = src.join(by, F.col("lang") == F.col("lang2")).where(F.pmod("h", "every") == F.col("rest"))
     counts = part.select("t", "lang").mapInArrow(_gram_counts, "lang string, bin long, n double").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     m = np.full((len(langs), BINS), 0.5)
@@ -119,7 +124,7 @@ def _score(logp: np.ndarray):
         for batch in batches:
             data, off = tk.buffers(batch.column(0))
             sums, n = np.zeros((batch.num_rows, n_lang)), np.zeros(batch.num_rows)
-            for a, z in tk.slices(data, off):
+            for a, z in tk.slices(data, off, SLICE_BYTES):
                 bins, rows = grams(data[off[a] : off[z]], off[a : z + 1] - off[a])
                 n[a:z] = np.bincount(rows, minlength=z - a)
                 for k in range(n_lang):
@@ -198,6 +203,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone, got = sparkkit.fresh(docs, "gone"), identify(docs, id_col, text_col, declared_col, host_col)
     wanted = F.col("kept") & F.col("lang").isin(*languages) if languages is not None else F.col("kept")
     rejected = got.groupBy("id").agg(F.bool_or(wanted).alias("any")).where("id is not null and not any").select(F.col("id").alias(gone))
+    # as a table it has its real size, so that texts are shuffled only if many ids go
+    rejected, _ = sparkkit.written(rejected)
     letters = F.coalesce(F.col(text_col).cast("string").rlike("[^\\x00-@\\[-`{-\\x7F]"), F.lit(False))
     return docs.where(F.col(id_col).isNotNull() | letters).join(rejected, F.col(id_col) == F.col(gone), "left_anti")
 

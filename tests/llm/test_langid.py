@@ -120,3 +120,11 @@ def test_suffix_of_dotted_hosts(spark):
     rows += [(900, "12", None, "new.at", ""), (901, "zqz", None, "new.at", "")]
     got = {r["id"]: r for r in L.identify(spark.createDataFrame(rows, SCHEMA), "id", "text", "declared", "host").collect()}
     assert got[900]["lang"] == "und" and got[901]["lang"] == "de"
+
+
+def test_texts_are_not_shuffled_for_few_rejected_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    left = L.keep_identified(docs, languages=("en",))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r["lang"] for r in left.collect()} == {"en"}
