@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sparkkit
-from .tokens import tokenizer
+from . import textkit as tk
+from .tokens import SLICE_BYTES, tokenizer
 
 CAPACITY = 2048
 #: Relative cost of a token and of a pair of tokens.
@@ -82,15 +83,17 @@ def _pack(path: str | None, end_id: int | None, capacity: int, linear: float, qu
             return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names=list(_FIELDS))
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for a in range(0, len(ids), 256):
-                part = tok.encode(batch.column(1).slice(a, 256).to_pylist())
-                docs += ids[a : a + 256]
-                blobs += part
-                held += sum(map(len, part)) // 4
-                if held >= chunk:
-                    yield flush()
-                    docs, blobs, held = [], [], 0
+            texts = batch.column(1)
+            for a, z in tk.slices(*tk.buffers(texts), SLICE_BYTES):
+                ids, coded = batch.column(0).slice(a, z - a).to_pylist(), tok.encode(texts.slice(a, z - a))
+                for k in range(0, z - a, 256):
+                    part = coded[k : k + 256]
+                    docs += ids[k : k + 256]
+                    blobs += part
+                    held += sum(map(len, part)) // 4
+                    if held >= chunk:
+                        yield flush()
+                        docs, blobs, held = [], [], 0
         if docs:
             yield flush()
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -81,3 +82,26 @@ def test_odd_rows(spark):
     assert sum(r["length"] for r in rows) == 1 + 1 + 3 + long
     assert {r["doc_id"] for r in rows} == {1, 2, None}
     assert pack_documents(df.limit(0)).collect() == []
+
+
+def test_units_at_every_cut(plain):
+    """Signs after letters of any script, odd spaces at and off the cuts, slices of all lengths; an Arrow slice does as a list."""
+    rnd = random.Random(4)
+    signs = "aZé9'’!,.-–(\"_ß日́  \u0085​\x1f\t\r😀"
+    texts = ["".join(rnd.choice(signs + " " * (k % 5) + "\n" * (k % 3)) for _ in range(rnd.randrange(40))) for k in range(3000)]
+    texts += ["it's 'tis x'LL,y", "\n", " a", "a ", "a\n\nb", "x" * 100_000 + " y", None, "", "a<|endoftext|>b"]
+    want = [plain(t) for t in texts]
+    tok = UnitTokenizer(PATH)
+    assert tok.encode(texts) == want
+    assert tok.encode(pa.array(["z z", *texts], pa.string()).slice(1)) == want
+    assert [tok.encode([t])[0] for t in texts[-300:]] == want[-300:]
+
+
+def test_words_do_not_stay(plain):
+    """A worker outlives its tasks, so what it holds must not grow with the words it saw."""
+    tok = UnitTokenizer(PATH)
+    at = lambda: sum(len(x) for v in vars(tok).values() for x in (v if isinstance(v, tuple) else [v]) if isinstance(x, dict))
+    before = at()
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(400)]
+    assert tok.encode(texts) == [plain(t) for t in texts]
+    assert at() == before
