@@ -23,6 +23,10 @@ the other blocks, in blocks of their own.  So the links are linear in a group's
 and so is the shuffle for groups whose members resemble their hub; u members that do
 not cost u / BLOCK copies of the group.
 
+Texts are scanned for the samples, for the sets of each round, and twice more to drop rows.
+Only those of families and of dropped rows are shuffled: a broadcast bitmap of ids holds
+the others back, but for the few whose hash meets another's.
+
 No pair of rows is ever made by a join, no partner or candidate is capped, and copies
 are never expanded into pairs.  The bands miss a pair at the threshold with a chance
 of about 1e-9 (0.85) or 6e-7 (0.8).
@@ -334,13 +338,13 @@ def links_in_blocks(members: DataFrame, payload: str, block) -> DataFrame:
     """First round: distinct links (a, b) of members with their hub and within blocks."""
     parts = sparkkit.partitions(members.sparkSession)
     rows = _dealt(members, payload).repartition(parts, "key", "blk").sortWithinPartitions("key", "blk", "id")
-    return rows.mapInArrow(_in_blocks(block), "a long, b long").distinct()
+    return rows.mapInArrow(sparkkit.lean(_in_blocks(block)), "a long, b long").distinct()
 
 
-def _settle(members: DataFrame, large: DataFrame, attach, payload: str, checks) -> DataFrame:
+def _settle(members: DataFrame, large: DataFrame, n: int, attach, payload: str, checks) -> DataFrame:
     """Components of the links within groups, as (id, component).
 
-    ``members`` are rows (key, nb, hub, id), ``large`` those of groups of several blocks,
+    ``members`` are n rows (key, nb, hub, id), ``large`` those of groups of several blocks,
     and ``attach`` adds the payload to such rows by their id.
     """
     block, visit = checks
@@ -349,12 +353,12 @@ def _settle(members: DataFrame, large: DataFrame, attach, payload: str, checks)
         return comp
     labels = comp.select(F.col("id").alias("v"), "component")
     rows = large.join(labels, F.col("id") == F.col("v"), "left").select("key", "nb", "hub", "id", F.coalesce("component", "id").alias("label"))
-    rows, _ = sparkkit.written(rows)
+    rows, _ = sparkkit.written(rows, n)
     tops = rows.where("id = hub").groupBy(F.col("key").alias("k")).agg(F.min("label").alias("top"))
     away = F.col("label") != F.col("top")
     left = rows.join(tops, F.col("key") == F.col("k")).withColumn("away", away)
     size = left.where("away").groupBy(F.col("key").alias("k2")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nu"))
-    left, _ = sparkkit.written(left.join(size, F.col("key") == F.col("k2")).select("key", "nb", "nu", "id", "label", "away"))
+    left, _ = sparkkit.written(left.join(size, F.col("key") == F.col("k2")).select("key", "nb", "nu", "id", "label", "away"), n)
     if left.isEmpty():
         return comp
     of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -364,7 +368,7 @@ def _settle(members: DataFrame, large: DataFrame, attach, payload: str, checks)
     dealt = attach(left).withColumn("at", F.explode(F.when(F.col("away"), F.concat(at_home, on_visit)).otherwise(at_home)))
     dealt = dealt.select("key", "at.blk", "at.guests", "at.guest", "label", "id", payload)
     parts = sparkkit.partitions(left.sparkSession)
-    more = dealt.repartition(parts, "key", "blk", "guests").sortWithinPartitions("key", "blk", "guests").mapInArrow(_in_visits(visit), "a long, b long")
+    more = dealt.repartition(parts, "key", "blk", "guests").sortWithinPartitions("key", "blk", "guests").mapInArrow(sparkkit.lean(_in_visits(visit)), "a long, b long")
     return sparkkit.components(more.unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
 
@@ -375,7 +379,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     most = max_flips(percent)
 
-    chunks = sparkkit.cut(src.mapInArrow(_signatures, _SIG))
+    chunks = sparkkit.cut(src.mapInArrow(sparkkit.lean(_signatures), _SIG))
     rep = chunks.where("fp1 is not null").groupBy("fp1", "fp2").agg(F.min(F.array_min("ids")).alias("rep"))
     named = sparkkit.cut(chunks.drop("bands", "sketch").join(rep, ["fp1", "fp2"], "left").select("rep", "n", "ids"))
     sigs = chunks.where("fp1 is not null").join(rep, ["fp1", "fp2"]).where(F.array_min("ids") == F.col("rep")).select(F.col("rep").alias("id"), "bands", "sketch")
@@ -383,26 +387,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     band = sigs.select("id", F.posexplode("bands").alias("band", "k")).select("id", F.xxhash64("band", "k").alias("k1"))
     buckets = band.groupBy(F.col("k1").alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
-    buckets, _ = sparkkit.written(buckets.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), "hub"))
+    buckets, _ = sparkkit.written(buckets.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), "hub", "n"))
+    total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     large, _ = sparkkit.written(buckets.where("nb > 1"))
     within = lambda g: band.join(g, F.col("k1") == F.col("key")).select("key", "nb", "hub", "id")
-    families = _settle(within(buckets), within(large), lambda rows: rows.join(sigs.select("id", "sketch"), "id"), "sketch", _sketched(most))
+    families = _settle(within(buckets), within(large), total, lambda rows: rows.join(sigs.select("id", "sketch"), "id"), "sketch", _sketched(most))
 
     families, _ = sparkkit.written(families)
     lengths = named.where("rep is not null").groupBy(F.col("rep").alias("r")).agg(F.max("n").alias("n"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     sizes = families.join(lengths, F.col("id") == F.col("r")).groupBy(F.col("component").alias("key")).agg(blocks.alias("nb"))
     kin = families.join(sizes, F.col("component") == F.col("key")).select("key", "nb", F.col("key").alias("hub"), "id")
-    # a table with its real size: where it is small, texts are not shuffled to meet it
-    kin, _ = sparkkit.written(kin)
+    # a table with its real size: where it is small, texts are not shuffled to meet it; else those of its members are
+    total = families.count()
+    kin, _ = sparkkit.written(kin, total)
 
     def sets(rows: DataFrame) -> DataFrame:
         names = rows.columns
         types = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-        met = src.join(rows.withColumnRenamed("id", "v"), F.col("doc_id") == F.col("v")).select("text", *[F.col("v").alias("id") if c == "id" else F.col(c) for c in names])
-        return met.mapInArrow(_set_rows, f"{types}, set binary").where("length(set) > 0")
+        may, _ = sparkkit.sifted(src, F.col("doc_id"), rows.select("id"))
+        met = may.join(rows.withColumnRenamed("id", "v"), F.col("doc_id") == F.col("v")).select("text", *[F.col("v").alias("id") if c == "id" else F.col(c) for c in names])
+        return met.mapInArrow(sparkkit.lean(_set_rows), f"{types}, set binary").where("length(set) > 0")
 
-    comp = _settle(kin, kin.where("nb > 1"), sets, "set", _confirmed(percent, most))
+    comp = _settle(kin, kin.where("nb > 1"), total, sets, "set", _confirmed(percent, most))
 
     rows = named.join(comp, named.rep == comp.id, "left").select("n", F.explode("ids").alias("doc_id"), F.coalesce("component", "rep").alias("c"))
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
@@ -411,9 +418,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The input's rows without those whose component has a smaller id; rows of one id all stay or go."""
-    name = sparkkit.fresh(docs, "gone")
+    name, key = sparkkit.fresh(docs, "gone"), F.col(f"`{id_col}`").cast("long")
     gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
+    gone, _ = sparkkit.written(gone)
+    may, stay = sparkkit.sifted(docs, key, gone)
+    return stay.union(may.join(gone, key == F.col(name), "left_anti"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(_pack(path, end_id, capacity, linear, quadratic, chunk_tokens), _SCHEMA)
+    return src.mapInArrow(sparkkit.lean(_pack(path, end_id, capacity, linear, quadratic, chunk_tokens)), _SCHEMA)
 
 
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

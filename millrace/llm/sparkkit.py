@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a working table that a task writes, where their number is known.
+ROWS_A_FILE = 1 << 16
+#: Bits of a sieve for each id, and at most (16 MB).
+SIEVE_BITS, MOST_SIEVE_BITS = 32, 1 << 27
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,13 +60,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """As few partitions as about so many small rows need, at most those there are."""
+    return df.coalesce(max(1, math.ceil(rows / ROWS_A_FILE)))
+
+
+def written(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, str]:
     """Cuts lineage by a table in the shared folder, and the table's path.
 
     Loops use this: a checkpoint carries its plan's size estimate along, which grows
     with every join until planning takes longer than the work; a table has its real size.
+    Given about how many ``rows`` there are, few are written by few tasks, however many
+    partitions a shuffle has: every file costs its executor several processes, as Hadoop's
+    local file system sets permissions by chmod.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
+    df = df if rows is None else few(df, rows)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -76,6 +95,49 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow function whose worker hands unused memory back when a task's rows end, as idle workers keep theirs."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim:
+            trim(0)
+
+    return run
+
+
+def sifted(df: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose key (a long) may be among ``ids``, a table of one such column, and those whose key is not.
+
+    A bitmap of the ids' hashes is broadcast, so that an exact join of the first part need
+    not shuffle the second.  About one row in SIEVE_BITS gets into the first part without
+    need; more do where MOST_SIEVE_BITS bound the bitmap, and cost a shuffle, no more.
+    """
+    n = ids.count()
+    if not n:
+        return df.where(F.lit(False)), df
+    bits = min(MOST_SIEVE_BITS, 1 << max(10, math.ceil(math.log2(SIEVE_BITS * n))))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("long"))
+    word = lambda c: F.shiftright(slot(c), 6).cast("int")
+    at = lambda c: slot(c).bitwiseAND(F.lit(63)).cast("int")
+    name = fresh(df, "words")
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(bits // 64, np.int64)
+        for b in batches:
+            words[np.asarray(b.column(0))] = np.asarray(b.column(1))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words))], names=[name])
+
+    (c,) = (F.col(f"`{x}`") for x in ids.columns)
+    sums = ids.groupBy(word(c).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at(c))).alias("b"))
+    sieve, _ = written(sums.coalesce(1).mapInArrow(gathered, f"{name} array<long>"))
+    found = F.call_function("shiftrightunsigned", F.get(F.col(name), word(key)), at(key)).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(sieve), found, "left_semi"), df.join(F.broadcast(sieve), found, "left_anti")
+
+
 def _least(edges: DataFrame, n: int, parts: int) -> DataFrame:
     """Edges (a, b) with m, the least b or a itself at each a.
 
@@ -107,11 +169,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     last = tally()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large, mid = written(_least(both, 2 * last["n"], parts).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large, mid = written(_least(both, 2 * last["n"], parts).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), last["n"])
         joined = _least(large, last["n"], parts)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
         old = path
-        e, path = written(small.where("a <> b").distinct())
+        e, path = written(small.where("a <> b").distinct(), last["n"])
         remove(spark, [old, mid])
         now = tally()
         if now == last:
@@ -120,7 +182,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     # settled: every vertex but a root has one edge, to its root
-    roots = e.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
+    roots = few(e.select(F.col("b").alias("id")).distinct(), last["n"]).withColumn("component", F.col("id"))
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 

@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from millrace.llm import near_dup, sparkkit
 from millrace.llm.near_dup import drop_near_duplicates, max_flips, near_duplicates, odd_sketch, op10_near_duplicates, samples, flips
 
@@ -125,3 +127,74 @@ def test_links_are_linear(spark, monkeypatch):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c", 1, "x", "y"), (2, "A b c", 2, "x", "y"), (3, "q", 3, "x", "y")], "doc_id long, text string, gone long, _gone string, component string")
     assert {r["doc_id"] for r in drop_near_duplicates(df).collect()} == {1, 3}
+
+
+def test_texts_without_copies_are_not_shuffled(spark, monkeypatch):
+    """Where neither families nor dropped ids are small enough to be broadcast, only their texts move."""
+    rnd = random.Random(7)
+    texts = [" ".join(str(rnd.randrange(10**9)) for _ in range(1500)) for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:2])] + [(1000, texts[5] + " more"), (None, texts[6]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df = sparkkit.cut(df)
+    moved = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        before = moved()
+        left = [r["doc_id"] for r in drop_near_duplicates(df).collect()]
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(left, key=str) == sorted([*range(400), None, None], key=str)
+    assert moved() - before < sum(map(len, texts)) // 4
+
+
+def test_sieve_loses_no_id(spark, monkeypatch):
+    ids = spark.range(-50, 500, 3).select(F.col("id").alias("some id"))
+    rows = spark.createDataFrame([(i, "x") for i in [*range(-100, 1000), None]], "id long, words string")
+    for most in (sparkkit.MOST_SIEVE_BITS, 64):
+        monkeypatch.setattr(sparkkit, "MOST_SIEVE_BITS", most)
+        may, none = sparkkit.sifted(rows, F.col("id"), ids)
+        may, none = [r["id"] for r in may.collect()], [r["id"] for r in none.collect()]
+        assert sorted([*may, *none], key=str) == sorted([*range(-100, 1000), None], key=str)
+        assert set(range(-50, 500, 3)) <= set(may) and (most == 64 or len(may) < 300)
+    may, none = sparkkit.sifted(rows, F.col("id"), ids.limit(0))
+    assert not may.count() and none.count() == 1101
+
+
+def test_small_rounds_write_few_files(spark, monkeypatch):
+    files, plain = [], sparkkit.written
+
+    def written(df, *rows):
+        out = plain(df, *rows)
+        files.append(out[0].inputFiles())
+        return out
+
+    monkeypatch.setattr(sparkkit, "written", written)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(400) if i % 100], "a long, b long")
+        got = {r["id"]: r["component"] for r in sparkkit.components(edges).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: (i - 1) // 100 * 100 + 1 for i in range(1, 401)}
+    assert len(files) > 4 and all(len(f) == 1 for f in files[1:])
+
+
+def test_freed_memory_goes_back():
+    held = []
+
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+
+    def work(batches):
+        for b in batches:
+            blocks = [np.ones(12000) for _ in range(2000)]
+            held.append([np.ones(100) for _ in range(10)])  # above the blocks
+            assert resident() > before + 100
+            del blocks
+            yield b
+
+    before = resident()
+    assert list(sparkkit.lean(work)(iter([1]))) == [1]
+    assert resident() < before + 60
